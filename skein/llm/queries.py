@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import STAND_INS, code_key
-from skein.llm import encode, jaccard, neighbours, quantiles, repeated_lines, splitting, threads
+from skein.llm import encode, jaccard, mixing, neighbours, pairs, quantiles, repeated_lines, spam_pages, splitting, threads
 from skein.operators.versions import in_force
 from skein.sources.tables import table
 
@@ -228,3 +228,69 @@ c AS (SELECT measure, grp, create_time::DATE AS day, bucket, count(*) AS k FROM
 SELECT measure, grp, strftime(day, '%Y-%m-%d') AS day, sum(k)::BIGINT AS n, count(*) AS buckets, min(bucket) AS least, max(bucket) AS most
 FROM c GROUP BY measure, grp, c.day
 """
+
+
+SQL["p1_found"] = """
+WITH d AS (
+  SELECT id, lower(trim(knowledge_scope_code)) AS scope, row_number() OVER (PARTITION BY id ORDER BY edit_time DESC NULLS LAST) AS rn FROM agent_document),
+c AS (
+  SELECT id, document_id, chunk_text, status, row_number() OVER (PARTITION BY id ORDER BY edit_time DESC NULLS LAST) AS rn FROM document_chunk),
+l AS (
+  SELECT c.id AS chunk_id, c.document_id, d.scope, unnest(string_split(c.chunk_text, chr(10))) AS line, generate_subscripts(string_split(c.chunk_text, chr(10)), 1) - 1 AS line_no
+  FROM c JOIN d ON d.id = c.document_id AND d.rn = 1 AND d.scope <> ''
+  WHERE c.rn = 1 AND coalesce(c.status, 1) <> 0),
+k AS (SELECT *, regexp_replace(lower(line), '[^\\p{L}]+', '', 'g') AS letters FROM l),
+r AS (SELECT scope, letters FROM k WHERE length(letters) >= 10 GROUP BY ALL HAVING count(DISTINCT document_id) >= 6)
+SELECT chunk_id, line_no::INT AS line_no FROM k JOIN r USING (scope, letters)
+"""
+
+
+# 7. broken pairs
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exchanges = in_force(table(spark, sf_dir, "chat_exchange"), ["user_prompt", "reply_content", "exchange_state"])
+    finished = exchanges.where(F.col("exchange_state").isin(2, 3, 4))
+    return pairs.defective_pairs(finished, "id", "user_prompt", "reply_content").withColumnRenamed("id", "exchange_id")
+
+
+# 9. mixtures
+
+
+def _mixture(spark: SparkSession, sf_dir: str):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"), "doc_id", "source", "text")
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot of every plan with the stretches of documents in its block."""
+    return _mixture(spark, sf_dir)[0].withColumnRenamed("doc", "doc_id")
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of every plan and source."""
+    return _mixture(spark, sf_dir)[1]
+
+
+@query
+def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used by each plan: the most passes any of its tokens is in."""
+    mixed = _mixture(spark, sf_dir)[0]
+    per_block = mixed.groupBy("plan_code", "source", "doc", "block").agg(F.count(F.lit(1)).alias("uses"))
+    return per_block.groupBy("plan_code", "source", F.col("doc").alias("doc_id")).agg(F.max("uses").alias("uses"))
+
+
+# 10. spam pages
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages.label_pages(table(spark, sf_dir, "documents")).where("is_spam").select("doc_id")
+
+
+@query
+def p10_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document by kind of line."""
+    return spam_pages.label_pages(table(spark, sf_dir, "documents"))
