@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 500_000
 
 
+def checked(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """The frame, kept, and marked for broadcast if it is counted to have at most so many (narrow) rows."""
+    df = df.persist()
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _semi(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     keys = keys.select(on).persist()
     if keys.count() <= BROADCAST_KEYS:
