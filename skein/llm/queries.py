@@ -30,8 +30,8 @@ def _chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, pairs = jaccard.similar_texts(_chunks(spark, sf_dir), "id", "chunk_text", t=0.6, width=3, least=20)
-    return jaccard.member_pairs(classes, pairs, "id", "chunk_id_a", "chunk_id_b")
+    _, copies, near = jaccard.similar_texts(_chunks(spark, sf_dir), "id", "chunk_text", t=0.6, width=3, least=20)
+    return jaccard.member_pairs(copies, near, "id", "chunk_id_a", "chunk_id_b")
 
 
 # 8. token ids
@@ -105,8 +105,8 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per chunk with enough shingles: its class of equal shingle sets, that class's links, and its group."""
-    classes, pairs = jaccard.similar_texts(_chunks(spark, sf_dir), "id", "chunk_text", t=0.6, width=3, least=20)
-    return jaccard.groups(classes, pairs, "id").withColumnRenamed("id", "chunk_id")
+    classes, _, near = jaccard.similar_texts(_chunks(spark, sf_dir), "id", "chunk_text", t=0.6, width=3, least=20)
+    return jaccard.groups(classes, near, "id").withColumnRenamed("id", "chunk_id")
 
 
 # 4. conversations
@@ -184,6 +184,12 @@ def daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.sketch(values, ["measure", "grp", "day"], "x")
 
 
+@query
+def p6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch of every group and day: what is stored and added up, by days, weeks or for ever."""
+    return daily_sketches(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles over all time, from the sketches of single days added up."""
@@ -223,6 +229,9 @@ SELECT measure, grp, point::DOUBLE AS point, rank, n::BIGINT AS n,
   round(CASE WHEN bucket = 0 THEN 0.0 ELSE sign(bucket) * pow({_G!r}::DOUBLE, (abs(bucket) - {_O})::DOUBLE) * {2 / (1 + _G)!r} END, 6)::DOUBLE AS value
 FROM p WHERE rank <= upto AND rank > upto - k
 """
+SQL["p6_sketches"] = _VALUES + """
+SELECT measure, grp, strftime(create_time::DATE, '%Y-%m-%d') AS day, bucket, count(*) AS n FROM b GROUP BY ALL
+"""
 SQL["p6_daily"] = _VALUES + """,
 c AS (SELECT measure, grp, create_time::DATE AS day, bucket, count(*) AS k FROM b GROUP BY ALL)
 SELECT measure, grp, strftime(day, '%Y-%m-%d') AS day, sum(k)::BIGINT AS n, count(*) AS buckets, min(bucket) AS least, max(bucket) AS most
