@@ -48,7 +48,7 @@ def normalised(c: Column) -> Column:
 
 def csv_list(c: Column) -> Column:
     """The trimmed parts of a comma-separated text without empty ones."""
-    return F.coalesce(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def json_list(c: Column, schema: str = "array<string>") -> Column:

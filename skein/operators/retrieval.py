@@ -155,5 +155,5 @@ def within_budget(df: DataFrame, groups: list[str], order: list, size: Column, b
 def split_questions(text: Column, most: int = 4) -> Column:
     """Sub-questions where they are explicit: question marks, semicolons, line breaks, numbering. At most `most`."""
     marked = F.regexp_replace(text, r"(?m)^\s*\d+[.、)]\s*", "\n")
-    parts = F.filter(F.transform(F.split(marked, r"(?<=[?？])|[;；\n]+"), F.trim), lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) > 0)
+    parts = F.filter(F.transform(F.split(marked, r"(?<=[?？])|[;；\n]+"), lambda x: F.trim(x)), lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) > 0)
     return F.slice(F.when(F.size(parts) == 0, F.array(F.trim(text))).otherwise(parts), 1, most)

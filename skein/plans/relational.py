@@ -121,14 +121,15 @@ def json_fields(spark: SparkSession, d: str) -> DataFrame:
 # identifiers
 
 
-@query("SELECT o_orderkey, ((epoch_ms(o_orderdate) - 1288834974657) << 22) | ((o_custkey % 32) << 17) | (3 << 12) | (o_orderkey % 4096) AS id, epoch_ms(o_orderdate)::BIGINT AS millis FROM orders WHERE o_orderdate >= TIMESTAMP '2010-11-05'")
+@query("SELECT event_id, ((epoch_us(ts) // 1000 - 1288834974657) << 22) | ((user_id % 32) << 17) | (3 << 12) | (event_id % 4096) AS id, epoch_us(ts) // 1000 AS millis FROM events")
 def snowflake_ids(spark: SparkSession, d: str) -> DataFrame:
-    o = orders(spark, d).where("at >= timestamp'2010-11-05'")
-    o = o.select("o_orderkey", I.snowflake(F.unix_millis("at"), F.pmod("o_custkey", F.lit(32)), F.lit(3), F.pmod("o_orderkey", F.lit(4096))).alias("id"))
-    return o.withColumn("millis", I.snowflake_millis(F.col("id")))
+    """Ids composed from times and read back."""
+    e = event_time(table(spark, d, "events"))
+    e = e.select("event_id", I.snowflake(F.unix_millis("ts"), F.pmod("user_id", F.lit(32)), F.lit(3), F.pmod("event_id", F.lit(4096))).alias("id"))
+    return e.withColumn("millis", I.snowflake_millis(F.col("id")))
 
 
-@query("SELECT event_id, ((epoch_ms(ts) - 1288834974657) << 22) | ((event_id % 4096) << 6) | (user_id % 64) AS order_no FROM events")
+@query("SELECT event_id, ((epoch_us(ts) // 1000 - 1288834974657) << 22) | ((event_id % 4096) << 6) | (user_id % 64) AS order_no FROM events")
 def order_genes(spark: SparkSession, d: str) -> DataFrame:
     base = F.shiftleft((F.unix_millis(F.col("ts").cast("timestamp")) - I.EPOCH_MS).cast("bigint"), 22)
     return table(spark, d, "events").select("event_id", I.with_gene(base, F.pmod("event_id", F.lit(4096)), F.col("user_id"), 64).alias("order_no"))
@@ -141,7 +142,7 @@ def uid_parse(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "uid", seconds.alias("seconds"), worker.alias("worker"), sequence.alias("sequence"))
 
 
-@query("SELECT (5 << 35) | (7 << 13) | range AS uid FROM range(8192)")
+@query("SELECT (5::BIGINT << 35) | (7::BIGINT << 13) | range AS uid FROM range(8192)")
 def uid_batch(spark: SparkSession, d: str) -> DataFrame:
     """All ids of one worker and second."""
     return spark.range(1 << I.UID_SEQUENCE_BITS).select(I.uid(F.lit(I.UID_EPOCH_S + 5), F.lit(7), F.col("id")).alias("uid"))

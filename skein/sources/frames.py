@@ -35,7 +35,7 @@ def model_stream(df: DataFrame, key: str, raw: str) -> DataFrame:
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of text, markdown and HTML files; tags and entities of HTML are taken out."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
     return files.select("path", F.when(F.col("path").rlike(r"(?i)\.html?$"), html_text(F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
