@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.text import LETTER, OTHER, SPACE, classes, codes, span_hashes
+from skein.llm.text import LETTER, OTHER, SPACE, classes, codes, slices, span_hashes
 
 TOKENIZERS = "/opt/tokenizers"
 #: Distinct words a worker remembers between batches; then it forgets them all, which costs time but changes nothing.
@@ -288,7 +288,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids, at = code.encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
@@ -303,7 +303,7 @@ def token_counts(df: DataFrame, keep: list[str], text: str = "text", tokenizer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             n = code.counts([t or "" for t in batch.column(len(keep)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.encode import TOKENIZERS, encoder
+from skein.llm.text import slices
 from skein.session import ensure_checkpoint_dir
 
 BLOCK, SHARDS, SEED = 512, 64, 20240611
@@ -52,15 +53,13 @@ def _sized(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, seen = encoder(tokenizer), {}
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                part = batch.slice(begin, 2000)
-                n = code.counts([t or "" for t in part.column(2).to_pylist()])
-                before = np.empty(len(n), np.int64)
-                for i, (s, k) in enumerate(zip(part.column(1).to_pylist(), n.tolist())):
-                    before[i] = seen.get(s, 0)
-                    seen[s] = seen.get(s, 0) + k
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n, pa.int64()), pa.array(before)], names=["doc", "source", "part", "n_tokens", "before"])
+        for part in slices(batches, 2):
+            n = code.counts([t or "" for t in part.column(2).to_pylist()])
+            before = np.empty(len(n), np.int64)
+            for i, (s, k) in enumerate(zip(part.column(1).to_pylist(), n.tolist())):
+                before[i] = seen.get(s, 0)
+                seen[s] = seen.get(s, 0) + k
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n, pa.int64()), pa.array(before)], names=["doc", "source", "part", "n_tokens", "before"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("doc"), "source", text, "part").mapInArrow(run, f"doc {kind}, source string, part int, n_tokens bigint, before bigint")

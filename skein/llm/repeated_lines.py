@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.text import LETTER, classes, codes, mix, span_hashes
+from skein.llm.text import LETTER, classes, codes, slices, span_hashes
 from skein.operators.joins import with_keys
 from skein.session import ensure_checkpoint_dir
 
@@ -42,7 +42,7 @@ def line_keys(texts: list[str], letters: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sequences(df: DataFrame, key: str, document: str, text: str, letters: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             keys, counts = line_keys([x or "" for x in batch.column(2).to_pylist()], letters)
             at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))], names=["row_id", "document", "lines"])

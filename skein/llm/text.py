@@ -91,3 +91,21 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     begins, ends = begins[keep], ends[keep]
     counts = np.diff(np.searchsorted(begins, at))
     return span_hashes(points, begins, ends), counts
+
+
+#: Characters that are scanned at a time, so that the arrays of a task stay small; a longer text is scanned alone.
+SLICE = 3_000_000
+
+
+def slices(batches, column: int):
+    """The record batches cut so that the texts of a column have about SLICE bytes together."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(size[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, done + SLICE, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
