@@ -46,4 +46,4 @@ def html_text(c):
     c = F.regexp_replace(c, r"<[^>]*>", "")
     for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(mark))
-    return F.trim(F.regexp_replace(c, r"[ \t]*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(c, r"[ \t]*\n\s*", "\n"), r"^\s+|\s+$", "")
