@@ -24,7 +24,9 @@ SAMPLE = 20_000
 #: Residents and queries of a list that one task compares at most.
 BLOCK = 8_000
 MAX_LISTS = 4096
-SUBSPACES, CODES = 16, 64
+SUBSPACES, CODES = 16, 128
+#: Classes per list, as a multiple of the square root of their number.
+LIST_FACTOR = 3
 
 
 def valid(c: str, width: int = 64):
@@ -71,9 +73,10 @@ class Index:
         rest = np.split(x - self.centres[of], self.subspaces, axis=1)
         return np.stack([nearest(r, b) for r, b in zip(rest, self.books)], axis=1).astype(np.uint8)
 
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """Products of each query's parts with all codes: queries x subspaces x codes."""
-        return np.stack([q @ b.T for q, b in zip(np.split(queries, self.subspaces, axis=1), self.books)], axis=1)
+    def stood_for(self, code: np.ndarray, of: int) -> np.ndarray:
+        """The vectors that codes stand for. A query's product with one is the sum of its asymmetric table over the
+        subspaces, plus the centroid's part; with 64 dimensions one matrix product is faster than looking tables up."""
+        return (self.centres[of] + np.concatenate([b[code[:, i]] for i, b in enumerate(self.books)], axis=1)).astype(np.float32)
 
 
 def _assign(df: DataFrame, index, probes: int) -> DataFrame:
@@ -106,23 +109,23 @@ def _search(index, k: int, rerank: int):
         r = r[np.argsort(ids[r])]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(q) and len(r):
-            code = ix.encode(x[r], np.full(len(r), of))
-            m = min(rerank, len(r))
+            coded = ix.stood_for(ix.encode(x[r], np.full(len(r), of)), of)
+            near32 = x[r].astype(np.float32)
+            m, keep, own = min(rerank, len(r)), min(k + 4, len(r)), ids[r]
             for i in range(0, len(q), 512):
                 mine = q[i : i + 512]
-                table_ = ix.tables(x[mine])
-                score = x[mine] @ ix.centres[of][:, None] + sum(table_[:, s, code[:, s]] for s in range(ix.subspaces))
-                best = np.argpartition(-score, m - 1, axis=1)[:, :m] if m < len(r) else np.broadcast_to(np.arange(len(r)), (len(mine), len(r)))
-                best = np.sort(best, axis=1)  # by id, for ties
-                exact = np.einsum("qd,qmd->qm", x[mine], x[r][best])
-                exact[ids[r][best] == ids[mine][:, None]] = -np.inf
-                keep = min(k, m)
-                order = np.argsort(-exact, axis=1, kind="stable")[:, :keep]
-                found = np.take_along_axis(best, order, axis=1)
-                near = np.take_along_axis(exact, order, axis=1)
-                who = np.repeat(ids[mine], keep)
+                asked = x[mine].astype(np.float32)
+                rough = asked @ coded.T
+                least = np.partition(rough, len(r) - m, axis=1)[:, len(r) - m] if m < len(r) else rough.min(axis=1)
+                exact = np.where(rough >= least[:, None], asked @ near32.T, -np.inf)
+                exact[own == ids[mine][:, None]] = -np.inf
+                best = np.sort(np.argpartition(-exact, keep - 1, axis=1)[:, :keep], axis=1) if keep < len(r) else np.broadcast_to(np.arange(len(r)), exact.shape)
+                final = np.einsum("qd,qmd->qm", x[mine], x[r][best])
+                final[~np.isfinite(np.take_along_axis(exact, best, axis=1))] = -np.inf
+                order = np.argsort(-final, axis=1, kind="stable")[:, :k]  # columns are in order of id, so ties are too
+                found, near = np.take_along_axis(best, order, axis=1), np.take_along_axis(final, order, axis=1)
                 ok = np.isfinite(near.ravel())
-                out.append((who[ok], ids[r][found].ravel()[ok], near.ravel()[ok]))
+                out.append((np.repeat(ids[mine], order.shape[1])[ok], own[found].ravel()[ok], near.ravel()[ok]))
         a, b, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
@@ -134,7 +137,7 @@ def best(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64, probes: int = 24, rerank: int = 48) -> DataFrame:
+def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, width: int = 64, probes: int = 28, rerank: int = 128) -> DataFrame:
     """(key, other, similarity, rank) of the k most similar other vectors of every valid vector, by cosine; equal
     similarities go to the smaller key.
 
@@ -154,7 +157,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, k: int = 5, width: int
     if n == 0:
         return spark.createDataFrame([], kind).withColumnRenamed("id", key)
     sample = single.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
-    index = spark.sparkContext.broadcast(Index(np.stack(sample.to_numpy()), max(1, min(MAX_LISTS, int(math.sqrt(n))))))
+    index = spark.sparkContext.broadcast(Index(np.stack(sample.to_numpy()), max(1, min(MAX_LISTS, int(math.sqrt(n) / LIST_FACTOR)))))
     placed = _assign(single, index, probes).checkpoint()
     sizes = {r["list"]: (r["n"], r["asked"]) for r in placed.select(F.posexplode("lists").alias("p", "list")).groupBy("list").agg(F.count_if(F.col("p") == 0).alias("n"), F.count(F.lit(1)).alias("asked")).collect()}
     blocks = spark.createDataFrame([(int(of), max(1, -(-a // BLOCK)), max(1, -(-b // BLOCK))) for of, (a, b) in sizes.items()], "list int, rb int, qb int")
