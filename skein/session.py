@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +31,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context: their Python workers import it, and executors that join
+    later get it too. The archive is read from the driver only."""
+    context = spark.sparkContext
+    if getattr(context, "_skein_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="skein-")) / "skein.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._skein_shipped = True

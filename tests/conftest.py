@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from skein.session import ensure_checkpoint_dir, local_session  # noqa: E402
+from skein.session import ensure_checkpoint_dir, local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +13,7 @@ def spark():
     s = local_session("4", partitions=4, name="tests")
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship(s)
     yield s
     s.stop()
 
