@@ -21,6 +21,8 @@ from skein.llm.text import slices
 from skein.session import ensure_checkpoint_dir
 
 BLOCK, SHARDS, SEED = 512, 64, 20240611
+#: Slots that are listed at a time; runs of slots are spread over all tasks.
+RUN = 4096
 
 
 def source_key(c):
@@ -134,7 +136,9 @@ def mix(df: DataFrame, plans: DataFrame, key: str, source: str, text: str, block
     blocks = {s: -(-n // block) for s, n in totals.items()}
     drawn, _ = draw(lines, blocks, totals, shards, seed)
     slots = spark.createDataFrame(drawn, "plan_code string, shard int, source string, first bigint, count bigint")
-    slots = slots.select("plan_code", "shard", "source", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)).alias("slot"))
+    end_slot = F.col("first") + F.col("count") - 1
+    runs = slots.select("plan_code", "shard", "source", end_slot.alias("last"), F.explode(F.sequence("first", end_slot, F.lit(RUN))).alias("begin")).repartition("plan_code", "source", "begin")
+    slots = runs.select("plan_code", "shard", "source", F.explode(F.sequence("begin", F.least(F.col("begin") + RUN - 1, F.col("last")))).alias("slot"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +151,7 @@ def mix(df: DataFrame, plans: DataFrame, key: str, source: str, text: str, block
             chosen = permuted(slot - pass_no * n, n, keys) if len(n) else slot
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.int64()), pa.array(pass_no, pa.int64())], names=["plan_code", "shard", "source", "slot", "block", "pass_no"])
 
-    slots = slots.repartition("plan_code", "shard").mapInArrow(choose, "plan_code string, shard int, source string, slot bigint, block bigint, pass_no bigint")
+    slots = slots.mapInArrow(choose, "plan_code string, shard int, source string, slot bigint, block bigint, pass_no bigint")
     end = F.col("start") + F.col("n_tokens")
     cut = placed.select("doc", "source", "start", "n_tokens", F.explode(F.sequence((F.col("start") / block).cast("bigint"), ((end - 1) / block).cast("bigint"))).alias("block"))
     cut = cut.select("doc", "source", "block", (F.greatest(F.col("start"), F.col("block") * block) - F.col("start")).alias("from_token"), (F.least(end, (F.col("block") + 1) * block) - F.col("start")).alias("to_token"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import is_blank
+from skein.operators.joins import checked
 from skein.session import ensure_checkpoint_dir
 
 END = re.compile(r"[.!?。！？…][\"'”’»」』）)\]*_]*$")
@@ -224,7 +225,7 @@ def defective_pairs(df: DataFrame, key: str, prompt: str, reply: str) -> DataFra
     open_ = judged.where("ends <> 'end'").where(early.isNull()).select("id", "reply", "ends", "last")
     cut = shortened(judged.select("id", "reply"), "id", "reply").distinct().withColumn("cut", F.lit(True))
     spikes = length_spikes(open_.where("ends = 'open'")).withColumn("spike", F.lit(True))
-    doubtful = open_.withColumn("length", F.length("reply")).join(stops, "last", "left").join(cut, "id", "left").join(F.broadcast(spikes), "length", "left")
+    doubtful = open_.withColumn("length", F.length("reply")).join(stops, "last", "left").join(cut, "id", "left").join(checked(spikes), "length", "left")
     known_end = F.col("seen").isNotNull()
     broken = (
         F.when(F.col("ends") == "open", True)
