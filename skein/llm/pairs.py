@@ -181,22 +181,25 @@ def _features(df: DataFrame) -> DataFrame:
     return df.select("id", "prompt", "reply").mapInArrow(run, "id bigint, prompt string, reply string, copy boolean, refusal boolean, other_language boolean, ends string, last string, stops array<string>")
 
 
-def shortened(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Keys of texts that are a proper beginning of another text. The texts are sorted once, over as many tasks as
-    there are partitions; a text that begins another one begins the next different text in the order. The first text
-    of each partition is handed to the one before, so pairs across a border are seen too."""
+def shortened(df: DataFrame, key: str, text: str, whole: str | None = None) -> DataFrame:
+    """Keys of texts that are a proper beginning of another text, or of one that is `whole`. The texts are sorted once,
+    over as many tasks as there are partitions; a text that begins another one begins the next different text in the
+    order, and one that begins a whole text begins the next whole one. The first whole text of each partition is handed
+    to the ones before, so pairs across a border are seen too."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = df.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null").repartitionByRange(n, "text").sortWithinPartitions("text", "id").withColumn("part", F.spark_partition_id()).checkpoint()
-    heads = sorted_.groupBy("part").agg(F.min("text").alias("head"))
-    w = Window.orderBy("part")  # one row per partition
-    heads = heads.select((F.lag("part").over(w)).alias("part"), "head").where("part is not null")
-    tails = heads.select("part", F.lit(None).cast("bigint").alias("id"), F.col("head").alias("text"))
-    joined = sorted_.select("part", "id", "text").unionByName(tails)
-    # a partition and the head of the next one lie together again; equal texts count once
-    distinct = joined.groupBy("part", "text").agg(F.count(F.lit(1)).alias("n"))
-    after = distinct.select("part", "text", F.lead("text").over(Window.partitionBy("part").orderBy("text")).alias("next"))
+    kept = F.col(whole) if whole else F.lit(True)
+    sorted_ = df.select(F.col(key).alias("id"), F.col(text).alias("text"), kept.alias("whole")).where("text is not null").repartitionByRange(n, "text").sortWithinPartitions("text", "id").withColumn("part", F.spark_partition_id()).checkpoint()
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    heads = sorted_.groupBy("part").agg(F.min(F.when(F.col("whole"), F.col("text"))).alias("head"))
+    w = before(Window.orderBy(F.desc("part")))  # one row per partition
+    heads = heads.select("part", F.last("head", ignorenulls=True).over(w).alias("text")).where("text is not null")
+    joined = sorted_.select("part", "text", "whole").unionByName(heads.select("part", "text", F.lit(True).alias("whole")))
+    # a partition and the head of the next ones lie together again; equal texts count once
+    distinct = joined.groupBy("part", "text").agg(F.max("whole").alias("whole"))
+    w = before(Window.partitionBy("part").orderBy(F.desc("text")))
+    after = distinct.select("part", "text", F.last(F.when(F.col("whole"), F.col("text")), ignorenulls=True).over(w).alias("next"))
     hit = after.where(F.col("next").startswith(F.col("text"))).select("part", "text")
     return sorted_.join(hit, ["part", "text"], "left_semi").select("id")
 
@@ -218,19 +221,24 @@ def defective_pairs(df: DataFrame, key: str, prompt: str, reply: str) -> DataFra
     ensure_checkpoint_dir(spark)
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(prompt).alias("prompt"), F.col(reply).alias("reply")).where(~is_blank(F.col("prompt")))
     empty = rows.where(is_blank(F.col("reply"))).select("id", F.lit("empty").alias("defect"))
-    judged = _features(rows.where(~is_blank(F.col("reply")))).drop("prompt").checkpoint()
+    judged = _features(rows.where(~is_blank(F.col("reply")))).withColumn("asked", F.md5(F.lower(F.trim("prompt")))).drop("prompt").checkpoint()
     early = F.when(F.col("copy"), "copy").when(F.col("refusal"), "refusal").when(F.col("other_language"), "language")
     # words that end sentences; an end that is seen once may be an accident
     stops = judged.select(F.explode("stops").alias("last")).groupBy("last").agg(F.count(F.lit(1)).alias("seen")).where("seen >= 2")
-    open_ = judged.where("ends <> 'end'").where(early.isNull()).select("id", "reply", "ends", "last")
+    rest = judged.where(early.isNull())
     cut = shortened(judged.select("id", "reply"), "id", "reply").distinct().withColumn("cut", F.lit(True))
-    spikes = length_spikes(open_.where("ends = 'open'")).withColumn("spike", F.lit(True))
-    doubtful = open_.withColumn("length", F.length("reply")).join(stops, "last", "left").join(cut, "id", "left").join(checked(spikes), "length", "left")
+    # the same prompt has a complete answer that only goes on
+    answers = rest.select("id", F.concat("asked", F.rtrim("reply")).alias("answer"), (F.col("ends") == "end").alias("whole"))
+    begun = shortened(answers, "id", "answer", "whole").distinct().withColumn("begun", F.lit(True))
+    # a length limit: open replies crowd at a length, and so do those that stop there with a complete ending by chance
+    limits = length_spikes(rest.where("ends = 'open'")).join(length_spikes(rest.where("ends <> 'open'").select("reply").distinct()), "length")
+    spikes = limits.withColumn("spike", F.lit(True))
+    doubtful = rest.select("id", F.length("reply").alias("length"), "ends", "last").join(stops, "last", "left").join(cut, "id", "left").join(begun, "id", "left").join(checked(spikes), "length", "left")
     known_end = F.col("seen").isNotNull()
     broken = (
-        F.when(F.col("ends") == "open", True)
-        .when(F.col("spike"), ~known_end)
-        .when(F.col("ends") == "short", ~known_end & F.coalesce("cut", F.lit(False)) | (F.length("reply") >= 12) & ~known_end)
+        F.when((F.col("ends") == "open") | F.col("begun") | F.col("spike"), True)
+        .when(F.col("ends") == "end", False)
+        .when(F.col("ends") == "short", ~known_end & (F.coalesce("cut", F.lit(False)) | (F.col("length") >= 12)))
         .otherwise(~known_end)
     )
     truncated = doubtful.where(broken).select("id", F.lit("truncated").alias("defect"))

@@ -312,6 +312,24 @@ def test_defects(spark):
     assert pairs.defective_pairs(df.where("false"), "id", "p", "r").count() == 0
 
 
+def test_cut_after_a_sentence(spark):
+    """The beginning of a complete answer to the same prompt, and a length limit, decide for complete endings too."""
+    ask, two = "How do I replace the fuse in the panel?", "Open the panel with the key first. Then take the old fuse out."
+    data = [(1, ask, two), (2, ask, f"{two} Put the new one in at the end."), (3, "What comes before the test?", two), (4, ask, f"{two} Put the"), (5, "Which panel is it?", "That one.")]
+    # 12 replies stop open at 90 characters and 9 with a full stop; others end where they like
+    cut = lambda i, n, end: f"The item {'abcdefghijklmnopqrstuvwxyz'[i]} of the list is kept in the store behind the office on the left side of the long corridor"[: n - len(end)] + end
+    data += [(10 + i, f"Where is item {i} kept?", cut(i, 90, "")) for i in range(12)] + [(30 + i, f"Where was item {i} kept?", cut(i, 90, ".")) for i in range(9)] + [(50 + i, f"Where will item {i} be?", cut(i, 60 + 3 * i, ".")) for i in range(9)]
+    found = dict(rows(pairs.defective_pairs(spark.createDataFrame(data, "id bigint, p string, r string"), "id", "p", "r")))
+    assert found == dict.fromkeys([1, 4, *range(10, 22), *range(30, 39)], "truncated")
+
+
+def test_shortened_of_whole_texts(spark):
+    data = [(1, "a", True), (2, "ab", False), (3, "abc", True), (4, "abd", False), (5, "abde", False), (6, "b", True), (7, "abc", True)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(data, "k bigint, t string, w boolean").repartition(parts)
+        assert {r.id for r in pairs.shortened(df, "k", "t", "w").collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_shortened(spark, parts):
     texts = ["a", "ab", "abc", "b", "bc x", "bc", "c", "", "c", None, "d e f", "d e"]
