@@ -2,13 +2,14 @@
 
 Two statistics of the whole corpus support the judgement of a cut reply: replies sorted by text, where a reply that is
 the beginning of its neighbour is a shortened version; and the lengths at which many replies stop without an end (spikes of a length
-limit). A third, the words that end complete sentences, tells an unpunctuated end from a cut. Copy, refusal and language
+limit). A third, how often a word ends a sentence where it occurs, tells an unpunctuated end from a cut. Copy, refusal and language
 rules follow per row. Patterns are word lists per language.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -132,13 +133,16 @@ def is_copy(prompt: str, reply: str) -> bool:
     return len(own & set(said)) >= 0.6 * len(own) and len(said) >= 0.6 * len(asked)
 
 
+def last_words(text: str) -> list[str]:
+    """What each beginning of a text ends with: its last word, or its last two ideographs."""
+    found = WORD.findall(text.lower())
+    return [found[i - 1] + w if i and "一" <= w <= "鿿" else w for i, w in enumerate(found)]
+
+
 def last_word(text: str) -> str | None:
     """What a text ends with, without citations and marks: its last word, or its last two ideographs."""
-    found = WORD.findall(CITED.sub("", text.strip()).lower())
-    if not found:
-        return None
-    wide = len(found) > 1 and "一" <= found[-1] <= "鿿"
-    return found[-2] + found[-1] if wide else found[-1]
+    found = last_words(CITED.sub("", text.strip()))
+    return found[-1] if found else None
 
 
 def ending(reply: str) -> str:
@@ -172,13 +176,34 @@ def _features(df: DataFrame) -> DataFrame:
                 copy, refusal = is_copy(prompt, reply), is_refusal(prompt, reply)
                 want, have = wanted_language(prompt), language(reply)
                 ends = ending(reply)
-                stops = [w for s in re.split(r"(?<=[.!?。！？])", reply) if re.search(r"[.!?。！？]$", s) and (w := last_word(s))]
-                rows.append((copy, refusal, bool(want and have and want != have), ends, last_word(reply), stops))
+                rows.append((copy, refusal, bool(want and have and want != have), ends, last_word(reply), have or ""))
             c = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(x), k) for x, k in zip(c, kinds))], names=["id", "prompt", "reply", "copy", "refusal", "other_language", "ends", "last", "stops"])
+            kinds = [pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(x), k) for x, k in zip(c, kinds))], names=["id", "prompt", "reply", "copy", "refusal", "other_language", "ends", "last", "spoken"])
+
+    return df.select("id", "prompt", "reply").mapInArrow(run, "id bigint, prompt string, reply string, copy boolean, refusal boolean, other_language boolean, ends string, last string, spoken string")
+
+
+def sentence_ends(df: DataFrame, text: str, spoken: str, least: int = 2, share: float = 0.1) -> DataFrame:
+    """(spoken, last): by language, and with '' for all of them, the words (or pairs of ideographs) that end a sentence
+    in at least `share` of the part of their occurrences that words do on average [choice: unpunctuated ends are far
+    oftener complete than cut], which does not depend on the size of the table; an end seen less than `least` times may
+    be an accident."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, stops = Counter(), Counter()
+            for t, name in zip(*(c.to_pylist() for c in batch.columns)):
+                own = last_words(t)
+                ends = [w for s in re.split(r"(?<=[.!?。！？])", t) if re.search(r"[.!?。！？]$", s) and (w := last_word(s))]
+                for n in {name, ""}:
+                    seen.update((n, w) for w in own)
+                    stops.update((n, w) for w in ends)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([stops[k] for k in seen], pa.int64())], names=["spoken", "last", "seen", "stops"])
 
-    return df.select("id", "prompt", "reply").mapInArrow(run, "id bigint, prompt string, reply string, copy boolean, refusal boolean, other_language boolean, ends string, last string, stops array<string>")
+    counts = df.select(text, spoken).mapInArrow(run, "spoken string, last string, seen bigint, stops bigint").groupBy("spoken", "last").agg(F.sum("seen").alias("seen"), F.sum("stops").alias("stops")).checkpoint()
+    mean = counts.groupBy("spoken").agg((F.sum("stops") / F.sum("seen")).alias("mean"))
+    return counts.join(F.broadcast(mean), "spoken").where((F.col("stops") >= least) & (F.col("stops") >= share * F.col("mean") * F.col("seen"))).select("spoken", "last")  # mean has a row per language
 
 
 def shortened(df: DataFrame, key: str, text: str, whole: str | None = None) -> DataFrame:
@@ -223,8 +248,7 @@ def defective_pairs(df: DataFrame, key: str, prompt: str, reply: str) -> DataFra
     empty = rows.where(is_blank(F.col("reply"))).select("id", F.lit("empty").alias("defect"))
     judged = _features(rows.where(~is_blank(F.col("reply")))).withColumn("asked", F.md5(F.lower(F.trim("prompt")))).drop("prompt").checkpoint()
     early = F.when(F.col("copy"), "copy").when(F.col("refusal"), "refusal").when(F.col("other_language"), "language")
-    # words that end sentences; an end that is seen once may be an accident
-    stops = judged.select(F.explode("stops").alias("last")).groupBy("last").agg(F.count(F.lit(1)).alias("seen")).where("seen >= 2")
+    stops = sentence_ends(judged, "reply", "spoken").withColumn("stops", F.lit(True))
     rest = judged.where(early.isNull())
     cut = shortened(judged.select("id", "reply"), "id", "reply").distinct().withColumn("cut", F.lit(True))
     # the same prompt has a complete answer that only goes on
@@ -233,8 +257,8 @@ def defective_pairs(df: DataFrame, key: str, prompt: str, reply: str) -> DataFra
     # a length limit: open replies crowd at a length, and so do those that stop there with a complete ending by chance
     limits = length_spikes(rest.where("ends = 'open'")).join(length_spikes(rest.where("ends <> 'open'").select("reply").distinct()), "length")
     spikes = limits.withColumn("spike", F.lit(True))
-    doubtful = rest.select("id", F.length("reply").alias("length"), "ends", "last").join(stops, "last", "left").join(cut, "id", "left").join(begun, "id", "left").join(checked(spikes), "length", "left")
-    known_end = F.col("seen").isNotNull()
+    doubtful = rest.select("id", F.length("reply").alias("length"), "ends", "last", "spoken").join(stops, ["spoken", "last"], "left").join(cut, "id", "left").join(begun, "id", "left").join(checked(spikes), "length", "left")
+    known_end = F.col("stops").isNotNull()
     broken = (
         F.when((F.col("ends") == "open") | F.col("begun") | F.col("spike"), True)
         .when(F.col("ends") == "end", False)

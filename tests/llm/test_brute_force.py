@@ -323,6 +323,22 @@ def test_cut_after_a_sentence(spark):
     assert found == dict.fromkeys([1, 4, *range(10, 22), *range(30, 39)], "truncated")
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_sentence_ends_at_any_size(spark, times):
+    """A cut after a common word that now and then ends a sentence is found in a small table and in a large one."""
+    data = [(f"The team of floor {i} checks the list of the old gate and of the new gate of the yard today.", "en") for i in range(60 * times)]
+    data += [("This is what the yard consists of.", "en")] * times + [("El registro es original.", "es")] * (5 * times) + [("The original list is the original one.", "en")] * (5 * times)
+    ends = {tuple(r) for r in pairs.sentence_ends(spark.createDataFrame(data, "t string, l string"), "t", "l").collect()}
+    assert {("en", "today"), ("en", "one"), ("es", "original"), ("", "original")} <= ends and not ends & {("en", "of"), ("", "of"), ("en", "original")}
+
+
+def test_cut_item_after_a_common_word(spark):
+    data = [(i, f"What does team {i} check?", f"The team of floor {i} checks the list of the old gate and of the new gate of the yard today.") for i in range(300)]
+    data += [(1000 + i, f"What is in the yard {i}?", "This is what the yard consists of.") for i in range(2)]
+    data += [(2000, "Which steps are there?", "Do this.\n1. Open the gate of the yard today\n2. Close the list of"), (2001, "Which steps are left?", "Do this.\n1. Close the list of\n2. Open the gate of the yard today")]
+    assert rows(pairs.defective_pairs(spark.createDataFrame(data, "id bigint, p string, r string"), "id", "p", "r")) == [(2000, "truncated")]
+
+
 def test_shortened_of_whole_texts(spark):
     data = [(1, "a", True), (2, "ab", False), (3, "abc", True), (4, "abd", False), (5, "abde", False), (6, "b", True), (7, "abc", True)]
     for parts in (1, 4):
