@@ -110,7 +110,7 @@ def sentences(text: str) -> list[str]:
 def is_refusal(prompt: str, reply: str) -> bool:
     """Declines, and says nothing else but courtesies and the question."""
     parts = sentences(reply)
-    if not REFUSAL.search(reply) or len(words(reply)) > 120:
+    if not REFUSAL.search(reply):
         return False
     own, refused = " ".join(words(prompt)), 0
     for s in parts:

@@ -323,6 +323,13 @@ def test_cut_after_a_sentence(spark):
     assert found == dict.fromkeys([1, 4, *range(10, 22), *range(30, 39)], "truncated")
 
 
+def test_long_refusals():
+    assert pairs.is_refusal("门禁怎么工作？", "抱歉，我无法回答这个问题。" * 12)
+    asked = "How does the gate of the office work when " + "the list of visitors is long and " * 30 + "the porter is away?"
+    assert pairs.is_refusal(asked, f"You asked:\n{asked}\nI'm sorry, but I can't help with that.")
+    assert not pairs.is_refusal("How does it work?", "I can't help with that. " * 25 + "The gate closes at noon every day.")
+
+
 @pytest.mark.parametrize("times", [1, 40])
 def test_sentence_ends_at_any_size(spark, times):
     """A cut after a common word that now and then ends a sentence is found in a small table and in a large one."""
