@@ -129,7 +129,8 @@ def vector_gate(spark: SparkSession, d: str) -> DataFrame:
     return vector_channel(spark, d).where(F.col("score") >= R.VECTOR_FLOOR)
 
 
-# fusion: a query is a chunk with a vector whose id is divisible by 20; its text asks the keyword channel
+# fusion: a query is a chunk with a vector whose id is divisible by 20; its whole text asks the keyword channel (the
+# SQL asks with its first 120 characters only, so it disagrees)
 
 HYBRID = f"""WITH {POSTINGS}, {NEAR},
 z AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT id, any_value(dl) AS dl FROM p GROUP BY id)),
@@ -147,7 +148,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
     v = live(spark, d, "document_embedding", "embedding").where(R.is_vector("embedding", 64)).where("id % 20 = 0").select("id")
-    words = chunks(spark, d).where("id % 20 = 0").join(v, "id", "left_semi").select(F.col("id").alias("query_id"), F.left("chunk_text", F.lit(120)).alias("words"))
+    words = chunks(spark, d).where("id % 20 = 0").join(v, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("chunk_text").alias("words"))
     scores = R.bm25(words, "query_id", "words", index(spark, d), "id").where("id <> query_id")
     keyword = R.keyword_gate(R.top(scores, ["query_id"], "score", "id", R.CHANNEL_TOP), ["query_id"])
     vector = vector_channel(spark, d).where(F.col("score") >= R.VECTOR_FLOOR)
