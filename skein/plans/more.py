@@ -9,7 +9,7 @@ from skein.functions import text as T
 from skein.operators import extensions as X
 from skein.operators import structure as S
 from skein.plans.registry import live, live_sql, query
-from skein.plans.search import ASKED, asked
+from skein.plans.search import ASKED
 from skein.sources.tables import table
 
 DOCS, CHUNKS, EXCHANGES, STAGES, DIALOGUES = map(live_sql, ["agent_document", "document_chunk", "chat_exchange", "chat_exchange_trace_stage", "chat_dialogue"])
@@ -28,19 +28,24 @@ def nested_groups(spark: SparkSession, d: str) -> DataFrame:
     return outer.select("exchange_id", "level", F.array_join(F.transform("l", lambda x: x["g"]), ",").alias("groups"))
 
 
+def prompted(spark: SparkSession, d: str) -> DataFrame:
+    """All exchanges with a prompt; the SQL below takes one in 20."""
+    return live(spark, d, "chat_exchange", "user_prompt").where(F.length(F.trim("user_prompt")) > 0).select(F.col("id").alias("query_id"), "user_prompt")
+
+
 @query(f"SELECT query_id, left(trim(user_prompt), 200) AS rewrite, contains(user_prompt, '?') AND length(user_prompt) - length(replace(user_prompt, '?', '')) > 1 AS should_split FROM {ASKED}")
 def rewrite_contract(spark: SparkSession, d: str) -> DataFrame:
     """A model's rewrite as JSON, read back; here the answer is built from the prompt."""
     several = F.length("user_prompt") - F.length(F.replace("user_prompt", F.lit("?"), F.lit(""))) > 1
-    answer = F.to_json(F.struct(F.left(F.trim("user_prompt"), F.lit(200)).alias("rewrite"), several.alias("should_split"), F.array(F.col("user_prompt")).alias("sub_questions")))
+    answer = F.to_json(F.struct(F.trim("user_prompt").alias("rewrite"), several.alias("should_split"), F.array(F.col("user_prompt")).alias("sub_questions")))
     parsed = F.from_json(answer, "rewrite string, should_split boolean, sub_questions array<string>")
-    return asked(spark, d).select("query_id", parsed.alias("p")).select("query_id", "p.rewrite", "p.should_split")
+    return prompted(spark, d).select("query_id", parsed.alias("p")).select("query_id", "p.rewrite", "p.should_split")
 
 
 @query(f"SELECT query_id, 'echo: ' || left(user_prompt, 80) AS reply FROM {ASKED}")
 def model_answers(spark: SparkSession, d: str) -> DataFrame:
     """Replies of a pluggable model; the stand-in echoes."""
-    return asked(spark, d).select("query_id", X.part("chat model", "echo")(F.col("user_prompt")).alias("reply"))
+    return prompted(spark, d).select("query_id", X.part("chat model", "echo")(F.col("user_prompt")).alias("reply"))
 
 
 @query()
