@@ -127,3 +127,16 @@ def confidence_band(c: Column) -> Column:
 def duration_level(c: Column, p50: Column, p90: Column, p99: Column) -> Column:
     zero = F.lit(0)
     return F.when(c <= F.coalesce(p50, zero), "excellent").when(c <= F.coalesce(p90, zero), "good").when(c <= F.coalesce(p99, zero), "warning").otherwise("slow")
+
+
+def tenths(c: Column, unit: int) -> Column:
+    """A whole number divided by a unit, to one digit, as the console's toFixed(1) shows the quotient: nearest, and on
+    the edge between two digits down only if the floating-point quotient lies below the edge. Digits come from whole
+    numbers; the quotient's error comes from its halves of 26 bits, whose products are exact."""
+    q = c / F.lit(float(unit))
+    high = q * 134217729.0 - (q * 134217729.0 - q)
+    below = (high * float(unit) - c) + (q - high) * float(unit) < 0
+    rest = F.pmod(c, F.lit(unit))
+    up = F.floor((rest * 20 + unit) / (2 * unit)) - F.when((F.pmod(rest * 10, F.lit(unit)) * 2 == unit) & below, 1).otherwise(0)
+    n = F.floor((c - rest) / unit) * 10 + up
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"))

@@ -130,10 +130,10 @@ def worker_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT id, CASE WHEN duration_ms IS NULL OR duration_ms <= 0 THEN '-' WHEN duration_ms < 1000 THEN duration_ms || ' ms' WHEN duration_ms < 60000 THEN printf('%.1f s', duration_ms / 1000.0) ELSE printf('%.1f min', duration_ms / 60000.0) END AS shown FROM {STAGES} WHERE duration_ms IS NULL OR duration_ms % 100 <> 50")
 def shown_durations(spark: SparkSession, d: str) -> DataFrame:
-    """Durations as texts, except those that lie on a rounding edge."""
+    """Durations as texts. The SQL leaves out those that end in 50 ms."""
     x = F.col("duration_ms")
-    shown = F.when(x.isNull() | (x <= 0), "-").when(x < 1000, F.concat(x.cast("string"), F.lit(" ms"))).when(x < 60000, F.format_string("%.1f s", x / 1000.0)).otherwise(F.format_string("%.1f min", x / 60000.0))
-    return live(spark, d, "chat_exchange_trace_stage", "duration_ms").where("duration_ms is null or duration_ms % 100 <> 50").select("id", shown.alias("shown"))
+    shown = F.when(x.isNull() | (x <= 0), "-").when(x < 1000, F.concat(x.cast("string"), F.lit(" ms"))).when(x < 60000, F.concat(T.tenths(x, 1000), F.lit(" s"))).otherwise(F.concat(T.tenths(x, 60000), F.lit(" min")))
+    return live(spark, d, "chat_exchange_trace_stage", "duration_ms").select("id", shown.alias("shown"))
 
 
 @query(f"SELECT dialogue_code, 'messages=' || coalesce(n, 0) || ', focus=' || coalesce(trim(selected_document_name), '') AS context FROM {DIALOGUES} d LEFT JOIN (SELECT lower(trim(dialogue_code)) AS code, count(*) AS n FROM {EXCHANGES} GROUP BY 1) e ON e.code = lower(trim(d.dialogue_code))")
