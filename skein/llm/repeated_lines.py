@@ -73,14 +73,14 @@ def suffix_intervals(suffixes: list[tuple[tuple[int, ...], int]]) -> Iterator[tu
             i = j
 
 
-def _intervals(suffixes: DataFrame, longest: int) -> DataFrame:
+def _intervals(suffixes: DataFrame) -> DataFrame:
     """Suffix arrays of the buckets of a partition; (block, documents, rows), a block as its line identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets: dict[tuple[int, int], list] = {}
         for batch in batches:
             for first, part, document, tail in zip(*(c.to_pylist() for c in batch.columns)):
-                buckets.setdefault((first, part), []).append((tuple(tail[:longest]), document))
+                buckets.setdefault((first, part), []).append((tuple(tail), document))
         for bucket in buckets.values():
             found = list(suffix_intervals(bucket))
             yield pa.RecordBatch.from_arrays([pa.array([list(b) for b, _, _ in found], pa.list_(pa.int64())), pa.array([d for _, d, _ in found], pa.int64()), pa.array([r for _, _, r in found], pa.int64())], names=["block", "documents", "n"])
@@ -88,10 +88,9 @@ def _intervals(suffixes: DataFrame, longest: int) -> DataFrame:
     return suffixes.select("first", "part", "document", "tail").mapInArrow(run, "block array<bigint>, documents bigint, n bigint")
 
 
-def repeated_lines(df: DataFrame, scopes: DataFrame, key: str, document: str, text: str, scope: str, documents: int = 6, letters: int = 10, longest: int = 64) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(df: DataFrame, scopes: DataFrame, key: str, document: str, text: str, scope: str, documents: int = 6, letters: int = 10) -> tuple[DataFrame, DataFrame]:
     """(lines, blocks). lines has (row_id, line_no, block_id): every line, numbered from 0, that repeats in its scope.
-    blocks has (block_id, n_lines, documents, n): every block of up to `longest` lines that spans at least `documents`
-    documents; block_id is the block's line identifiers.
+    blocks has (block_id, n_lines, documents, n): every block of any length that spans at least `documents` documents; block_id is the block's line identifiers.
 
     df has one row per text, scopes one row per document with its scope. Texts without a document, documents without
     a scope (null or empty) and null or empty texts have no repeated lines; a repeated row of df repeats its lines;
@@ -114,12 +113,12 @@ def repeated_lines(df: DataFrame, scopes: DataFrame, key: str, document: str, te
         "document",
         F.col("line.line_no").alias("line_no"),
         F.col("line.first").alias("first"),
-        F.transform(F.slice(F.filter("own", lambda x, i: F.get("run", i) == F.get("run", F.col("i"))), F.col("i") - F.array_position("run", F.get("run", F.col("i"))) + 2, F.lit(longest)), lambda x: x["first"]).alias("tail"),
+        F.transform(F.slice(F.filter("own", lambda x, i: F.get("run", i) == F.get("run", F.col("i"))), F.col("i") - F.array_position("run", F.get("run", F.col("i"))) + 2, F.size("own")), lambda x: x["first"]).alias("tail"),
     )
     tails = tails.checkpoint()
     parts = tails.groupBy("first").agg((F.count(F.lit(1)) / BUCKET_ROWS + 1).cast("int").alias("parts"))
     suffixes = tails.join(parts, "first").withColumn("part", F.pmod(F.xxhash64("document"), F.col("parts")).cast("int"))
-    found = _intervals(suffixes.repartition("first", "part"), longest)
+    found = _intervals(suffixes.repartition("first", "part"))
     blocks = found.groupBy(F.col("block").alias("block_id")).agg(F.sum("documents").alias("documents"), F.sum("n").alias("n")).where(F.col("documents") >= documents)
     blocks = blocks.select("block_id", F.size("block_id").alias("n_lines"), "documents", "n")
     heads = blocks.where("n_lines = 1").select(F.element_at("block_id", 1).alias("first"))

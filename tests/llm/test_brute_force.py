@@ -183,6 +183,15 @@ def test_hot_line_is_split(spark, monkeypatch):
     assert lines.count() == 80 and sorted((r.n_lines, r.documents) for r in blocks.collect()) == [(1, 9), (1, 9), (2, 9)]
 
 
+def test_long_block(spark):
+    notice = "\n".join(f"Clause {''.join(chr(97 + int(c)) for c in f'{i:03}')} of the notice" for i in range(100))
+    df = spark.createDataFrame([(i, i, f"Own line of text {'abcdefg'[i]} here\n{notice}") for i in range(7)], "id bigint, d bigint, t string")
+    scopes = spark.createDataFrame([(i, "s") for i in range(7)], "d bigint, s string")
+    lines, blocks = repeated_lines.repeated_lines(df, scopes, "id", "d", "t", "s")
+    assert lines.count() == 700
+    assert {r.n_lines: (r["count"], r.least) for r in blocks.groupBy("n_lines").agg(F.count(F.lit(1)).alias("count"), F.min("documents").alias("least")).collect()} == {n: (101 - n, 7) for n in range(1, 101)}
+
+
 def test_no_repeated_lines(spark):
     lines, blocks = repeated_lines.repeated_lines(spark.createDataFrame([], "id bigint, d bigint, t string"), spark.createDataFrame([], "d bigint, s string"), "id", "d", "t", "s")
     assert lines.count() == blocks.count() == 0
