@@ -9,7 +9,7 @@ rules follow per row. Patterns are word lists per language.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +25,14 @@ CITED = re.compile(r"(?:\s*\[\d+\])+$")
 ADDRESS = re.compile(r"(?:https?://|www\.)\S+$")
 ITEM = re.compile(r"^\s*(?:\d+[.)、]|[-*•])\s+")
 FENCE = "```"
+#: A sentence with its end.
+ENDED = re.compile(r"[^.!?。！？]*[.!?。！？]")
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 QUANTITY = re.compile(r"^\W*\d+([.,:]\d+)?\s*\W?\s*([^\W\d_]+\s?){0,3}\W*$")
 
 #: Sentences that decline, by language.
-REFUSAL = re.compile(
-    "|".join(
+REFUSALS = {
+    "en": "|".join(
         [
             r"\b(can ?not|can['’]?t|won['’]?t|unable to|not able to|not allowed to|not permitted to|not in a position to) (help|assist|answer|comment|respond|discuss|provide|give|share|talk|go into|do that|say)\b",
             r"\b(must|have to|will|prefer to) (decline|refuse)\b",
@@ -39,14 +41,17 @@ REFUSAL = re.compile(
             r"\bagainst (the|my|our) (terms|guidelines|rules|polic)",
             r"\b(beyond|outside) (my|the) (remit|scope|responsibilit)|\bleave the question open\b",
             r"\bnot contain (enough|sufficient) (evidence|information)|\b(not enough|insufficient|no sufficient) (evidence|information)\b|\bno reliable (conclusion|answer)\b|\bno (answer|conclusion) can be given\b",
-            r"\bi do(n['’]t| not) have (access|enough|any information|information)\b",
-            r"无法(回答|提供|给出|得出|协助|帮助|处理|讨论|告知)|不(便|能|可以|予|方便)(回答|讨论|提供|透露|告知|协助|谈论|评论)|恕(不|难|无法)|拒绝(回答|提供)|超出了?(我|本|服务|系统).{0,6}(范围|职责|权限|能力)|没有足够的?(证据|信息|资料)|未找到(相关|足够)|爱莫能助|抱歉，?(我)?(无法|不能|帮不)",
-            r"\b(kann|darf|werde|möchte|will) ich\b[^.!?]*\b(nicht|keine?n?)\b[^.!?]*\b(helfen|weiterhelfen|beantworten|antworten|geben|auskunft|sagen|äußern|eingehen|besprechen|unterstützen)|\bleider (keine|nicht)\b|\b(muss|möchte) ich (leider )?(ablehnen|verweigern)|\bich (kann|darf|werde|möchte)\b[^.!?]*\b(nicht|keine?n?)\b[^.!?]*\b(helfen|weiterhelfen|beantworten|antworten|geben|auskunft|sagen|äußern|eingehen|besprechen)|\bmuss ich\b[^.!?]*\bablehnen\b|\b(anfrage|frage|bitte) (muss|kann)\b[^.!?]*\b(ablehnen|nicht beantwort)|\b(nicht genug|nicht genügend|keine ausreichenden?|zu wenig|nicht ausreichend)\b[^.!?]*\b(belege|nachweise|informationen|hinweise|evidenz|angaben)|\bverstößt gegen\b|\bverstieße gegen\b|\b(außerhalb|jenseits) meine[rs]\b|\brichtlinien\b[^.!?]*\b(verbieten|untersagen|hindern|erlauben)",
-            r"\bno (puedo|podemos|podré|es posible|me es posible|estoy autorizad[oa]|me está permitido|tengo permitido|voy a|debo)\b[^.!?]*\b(ayudar|ayudarle|responder|contestar|dar|ofrecer|proporcionar|comentar|hablar|tratar|compartir|asistir)|\b(debo|tengo que|prefiero|he de) (rechazar|declinar|negarme|no)\b|\b(fuera|más allá) de (mi|mis)\b|\bno (hay|contiene|contienen|existe|existen|se dispone de|dispongo de|tengo)\b[^.!?]*\b(suficientes?|acceso|pruebas|evidencias?|información)|\b(normas|directrices|condiciones|políticas?)\b[^.!?]*\b(impiden|prohíben|no (me )?permiten)|\b(va|iría|irían|iria) (en contra|contra)\b|\bincumpl",
+            r"\bi do(n['’]t| not) have (access|enough|any information|information)\b|\bi do(n['’]t| not) know\b",
+            r"\b(nothing|no (document|file|source|record|page|article|passage|entry|information|data|material|mention)s?) (in|of|on|about|covers?|mentions?|describes?|addresses|was found|is available)\b",
+            r"\b(documents?|files?|sources?|records?|material|knowledge base|index) (say|says|contain|contains|hold|holds|have|has|mention|mentions|tell|tells) (nothing|no )|\bno answer is possible\b|\b(would|could|can) only (be guessing|guess|speculate)\b",
+            r"\b(i['’]?d|i would) (rather|prefer) not\b|\b(outside|beyond) (of )?what i\b|\bnot (for me|mine) to (say|answer|discuss|judge)\b|\b(can ?not|can['’]?t|could not|couldn['’]?t) find (anything|any|an answer|the answer|it)\b",
         ]
     ),
-    re.I,
-)
+    "zh": r"无法(回答|提供|给出|得出|协助|帮助|处理|讨论|告知)|不(便|能|可以|予|方便)(回答|讨论|提供|透露|告知|协助|谈论|评论)|恕(不|难|无法)|拒绝(回答|提供)|超出了?(我|本|服务|系统).{0,6}(范围|职责|权限|能力)|没有足够的?(证据|信息|资料)|未找到(相关|足够)|爱莫能助|(查|找|搜索|检索)不到|没有办法(作答|回答|答复|提供|给出)|没法(回答|作答|提供)|(没有|未|无)(提到|提及|记载|收录|记录|涉及)|没有(相关|任何|对应)的?(资料|信息|内容|记录|文档|依据)|不(在|属于)(我|本|服务).{0,8}(范围|职责|权限)|(不归|轮不到)我|无可奉告|不足以(回答|作答|得出)|只能(靠)?(猜|推测)|抱歉，?(我)?(无法|不能|帮不)",
+    "de": r"\b(kann|darf|werde|möchte|will) ich\b[^.!?]*\b(nicht|keine?n?)\b[^.!?]*\b(helfen|weiterhelfen|beantworten|antworten|geben|auskunft|sagen|äußern|eingehen|besprechen|unterstützen)|\bleider (keine|nicht)\b|\b(muss|möchte) ich (leider )?(ablehnen|verweigern)|\bich (kann|darf|werde|möchte)\b[^.!?]*\b(nicht|keine?n?)\b[^.!?]*\b(helfen|weiterhelfen|beantworten|antworten|geben|auskunft|sagen|äußern|eingehen|besprechen)|\bmuss ich\b[^.!?]*\bablehnen\b|\b(anfrage|frage|bitte) (muss|kann)\b[^.!?]*\b(ablehnen|nicht beantwort)|\b(nicht genug|nicht genügend|keine ausreichenden?|zu wenig|nicht ausreichend)\b[^.!?]*\b(belege|nachweise|informationen|hinweise|evidenz|angaben)|\bverstößt gegen\b|\bverstieße gegen\b|\b(außerhalb|jenseits) meine[rs]\b|\brichtlinien\b[^.!?]*\b(verbieten|untersagen|hindern|erlauben)|\b(liegen|liegt|habe|finde|fand|gibt es)\b[^.!?]*\bkeine?n?\b[^.!?]*\b(angaben?|informationen|unterlagen|daten|auskunft|hinweise?|eintr[aä]ge?|treffer)\b|\bgehört nicht zu (meine|den)\b|\b(unterlagen|dokumente|quellen|dateien|wissensbasis|angaben)\b[^.!?]*\b(nichts|reichen[^.!?]*nicht|erwähnen[^.!?]*(nicht|keine?n?)|enthalten (nichts|keine?n?)|sagen (nichts|dazu nichts))\b|\bkeine antwort (möglich|geben)\b|\b(könnte|kann) ich nur (raten|vermuten)\b|\bich weiß (es |das )?nicht\b",
+    "es": r"\bno (puedo|podemos|podré|es posible|me es posible|estoy autorizad[oa]|me está permitido|tengo permitido|voy a|debo)\b[^.!?]*\b(ayudar|ayudarle|responder|contestar|dar|ofrecer|proporcionar|comentar|hablar|tratar|compartir|asistir)|\b(debo|tengo que|prefiero|he de) (rechazar|declinar|negarme|no)\b|\b(fuera|más allá) de (mi|mis)\b|\bno (hay|contiene|contienen|existe|existen|se dispone de|dispongo de|tengo)\b[^.!?]*\b(suficientes?|acceso|pruebas|evidencias?|información)|\b(normas|directrices|condiciones|políticas?)\b[^.!?]*\b(impiden|prohíben|no (me )?permiten)|\b(va|iría|irían|iria) (en contra|contra)\b|\bincumpl|\bqueda fuera de\b|\bfuera de lo que (puedo|debo|me)\b|\b(documentos?|archivos?|fuentes?|base de conocimientos?|registros?)\b[^.!?]*\bno (mencionan?|dicen?|recogen?|contienen?|hablan?|incluyen?|bastan?|alcanzan?|aclaran?)\b|\bno (encuentro|encontré|he encontrado|figura|consta|aparece) (nada|ning|en)|\bno hay (una )?(respuesta|datos|constancia)|\bnada (sobre|acerca de|en los)\b|\bprefiero no\b|\bno me corresponde\b|\bno es (cosa|asunto) mío\b|\bsolo (podría|puedo) (adivinar|suponer|especular)|\bno lo sé\b",
+}
+REFUSAL = {name: re.compile(pattern, re.I) for name, pattern in REFUSALS.items()} | {None: re.compile("|".join(REFUSALS.values()), re.I)}
 #: Sentences that add nothing to a refusal.
 COURTESY = re.compile(
     r"^\W*(hello|hi|hey|thank|thanks|sorry|apolog|please|is there|feel free|anything|i understand|understood|if you have|let me know|i hope|you (can|may|could)|maybe|perhaps|try |contact|ask "
@@ -76,10 +81,15 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def language(text: str) -> str | None:
-    """en, de, es or zh; None if there are too few signs."""
-    text = re.sub(r"```.*?(```|$)|https?://\S+|`[^`]*`", " ", text, flags=re.S)
-    found = words(text)
+CODE = re.compile(r"```.*?(```|$)|https?://\S+|`[^`]*`", re.S)
+UMLAUT, ACCENT = re.compile(r"[äöüß]", re.I), re.compile(r"[ñ¿¡áíó]", re.I)
+
+
+def language(text: str, found: list[str] | None = None) -> str | None:
+    """en, de, es or zh; None if there are too few signs. found are the words of the text, if they are known."""
+    if "`" in text or "://" in text:
+        text, found = CODE.sub(" ", text), None
+    found = words(text) if found is None else found
     if not found:
         return None
     wide = sum("一" <= w <= "鿿" for w in found)
@@ -87,11 +97,8 @@ def language(text: str) -> str | None:
         return "zh"
     if wide > 0.3 * len(found) or len(found) < 3:
         return None
-    votes = sorted(((sum(w in known for w in found), name) for name, known in FUNCTION_WORDS.items()), reverse=True)
-    if re.search(r"[äöüß]", text, re.I):
-        votes = sorted(((n + (2 if name == "de" else 0), name) for n, name in votes), reverse=True)
-    if re.search(r"[ñ¿¡áíó]", text, re.I):
-        votes = sorted(((n + (2 if name == "es" else 0), name) for n, name in votes), reverse=True)
+    extra = {"de": 2 if UMLAUT.search(text) else 0, "es": 2 if ACCENT.search(text) else 0}
+    votes = sorted(((sum(map(known.__contains__, found)) + extra.get(name, 0), name) for name, known in FUNCTION_WORDS.items()), reverse=True)
     return votes[0][1] if votes[0][0] >= 2 and votes[0][0] >= votes[1][0] + 2 or votes[0][0] >= 3 and votes[0][0] > votes[1][0] * 1.5 else None
 
 
@@ -107,28 +114,28 @@ def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?。！？])\s*(?=\S)|\n+|\s+[—–]\s+(?=[A-ZÄÖÜ])", text) if WORD.search(s)]
 
 
-def is_refusal(prompt: str, reply: str) -> bool:
-    """Declines, and says nothing else but courtesies and the question."""
-    parts = sentences(reply)
-    if not REFUSAL.search(reply):
-        return False
-    own, refused = " ".join(words(prompt)), 0
-    for s in parts:
-        if REFUSAL.search(s):
-            refused += 1
-        elif not (COURTESY.search(s) or len(words(s)) <= 4 or " ".join(words(s)) in own):
-            return False
-    return refused > 0
+def is_refusal(prompt: str, reply: str, spoken: str | None = None) -> bool:
+    """Declines, and says nothing else but courtesies and the question. The first sentence that says something ends the
+    test, so a long answer costs no more than its beginning. spoken is the language of the reply, if it is known."""
+    own, refused, declines = None, False, REFUSAL[spoken]
+    for s in sentences(reply):
+        if declines.search(s):
+            refused = True
+        elif not (COURTESY.search(s) or len(said := words(s)) <= 4):
+            own = " ".join(words(prompt)) if own is None else own
+            if " ".join(said) not in own:
+                return False
+    return refused
 
 
-def is_copy(prompt: str, reply: str) -> bool:
+def is_copy(prompt: str, reply: str, said: list[str] | None = None) -> bool:
     """Nothing beyond the question: all of it, or nearly all, and no new words but echoing ones."""
-    asked, said = words(prompt), words(reply)
+    asked, said = words(prompt), words(reply) if said is None else said
     if not asked or not said:
         return False
     own = set(asked)
-    new = [w for w in said if w not in own and w not in ECHO]
-    if len(new) > max(1, 0.1 * len(said)) and len(new) > 0.1 * len(asked):
+    new = sum(w not in own and w not in ECHO for w in said)
+    if new > max(1, 0.1 * len(said)) and new > 0.1 * len(asked):
         return False
     return len(own & set(said)) >= 0.6 * len(own) and len(said) >= 0.6 * len(asked)
 
@@ -173,8 +180,9 @@ def _features(df: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for prompt, reply in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                copy, refusal = is_copy(prompt, reply), is_refusal(prompt, reply)
-                want, have = wanted_language(prompt), language(reply)
+                said = words(reply)
+                want, have = wanted_language(prompt), language(reply, said)
+                copy, refusal = is_copy(prompt, reply, said), is_refusal(prompt, reply, have)
                 ends = ending(reply)
                 rows.append((copy, refusal, bool(want and have and want != have), ends, last_word(reply), have or ""))
             c = list(zip(*rows)) or [[]] * 6
@@ -192,16 +200,15 @@ def sentence_ends(df: DataFrame, text: str, spoken: str, least: int = 2, share:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, stops = Counter(), Counter()
+            seen, stops = defaultdict(Counter), Counter()
             for t, name in zip(*(c.to_pylist() for c in batch.columns)):
-                own = last_words(t)
-                ends = [w for s in re.split(r"(?<=[.!?。！？])", t) if re.search(r"[.!?。！？]$", s) and (w := last_word(s))]
-                for n in {name, ""}:
-                    seen.update((n, w) for w in own)
-                    stops.update((n, w) for w in ends)
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([stops[k] for k in seen], pa.int64())], names=["spoken", "last", "seen", "stops"])
-
-    counts = df.select(text, spoken).mapInArrow(run, "spoken string, last string, seen bigint, stops bigint").groupBy("spoken", "last").agg(F.sum("seen").alias("seen"), F.sum("stops").alias("stops")).checkpoint()
+                seen[name].update(last_words(t))
+                stops.update((name, w) for s in ENDED.findall(t) if (w := last_word(s)))
+            keys = [(n, w) for n, own in seen.items() for w in own]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.string()), pa.array([seen[n][w] for n, w in keys], pa.int64()), pa.array([stops[k] for k in keys], pa.int64())], names=["spoken", "last", "seen", "stops"])
+
+    own = df.select(text, spoken).mapInArrow(run, "spoken string, last string, seen bigint, stops bigint").groupBy("spoken", "last").agg(F.sum("seen").alias("seen"), F.sum("stops").alias("stops")).checkpoint()
+    counts = own.where("spoken <> ''").unionByName(own.withColumn("spoken", F.lit("")).groupBy("spoken", "last").agg(F.sum("seen").alias("seen"), F.sum("stops").alias("stops")))
     mean = counts.groupBy("spoken").agg((F.sum("stops") / F.sum("seen")).alias("mean"))
     return counts.join(F.broadcast(mean), "spoken").where((F.col("stops") >= least) & (F.col("stops") >= share * F.col("mean") * F.col("seen"))).select("spoken", "last")  # mean has a row per language
 
