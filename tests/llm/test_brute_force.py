@@ -266,7 +266,8 @@ def test_conversations(spark):
 
 
 def test_similar_vectors_recall(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    monkeypatch.setattr(neighbours, "RESIDENTS", 100)
+    monkeypatch.setattr(neighbours, "ASKING", 150)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
     x = (centres[rng.integers(0, 12, 900)] + 0.4 * rng.normal(size=(900, 16))).astype(np.float32)
@@ -280,6 +281,29 @@ def test_similar_vectors_recall(spark, monkeypatch):
     want = {(i, int(j)) for i in range(900) for j in sorted(range(900), key=lambda j: (-s[i, j], j))[:5]}
     assert len(found & want) >= 0.9 * len(want) and len(found) == 4500
     assert {o for i, o in found if i == 59} == {50, 51, 52, 53, 54}
+    assert {o for i, o in found if i == 52} == {50, 51, 53, 54, 55}
+
+
+def test_second_level_cells():
+    """More cells than sampled classes can train: cells are sums of two centroids, and the nearest are asked."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(640, 16))
+    ix = neighbours.Index(x, 400, residents=50)
+    assert len(ix.coarse) == 40 and len(ix.second) == 10 and np.bincount(ix.group[ix.cell_of(u := neighbours.unit(x), neighbours.nearest(u, ix.coarse)) // 10]).max() <= 80
+    cells, centres = ix.asked(u, 60), ix.centre(np.arange(400))
+    want = np.argsort(-(u @ centres.T - (centres**2).sum(axis=1) / 2), axis=1)[:, :60]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(cells.tolist(), want.tolist())]) > 50
+
+
+def test_distance_tables_sum_to_products():
+    rng = np.random.default_rng(6)
+    ix = neighbours.Index(rng.normal(size=(600, 16)), 8)
+    u = neighbours.unit(rng.normal(size=(50, 16)))
+    cell = ix.cell_of(u, neighbours.nearest(u, ix.coarse))
+    code = ix.encode(u, cell)
+    tables = ix.tables(u[:7])
+    summed = sum(t[code[:, s]] for s, t in enumerate(tables)).T + u[:7] @ ix.centre(cell).T
+    assert np.allclose(summed, u[:7] @ (ix.centre(cell) + ix.decoded(code)).T, atol=1e-5)
 
 
 def test_few_vectors(spark):
