@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from skein.operators.running import running_sum
 from skein.operators import aggregates as A
 from skein.operators import joins as J
 from skein.operators import retrieval as R
@@ -126,3 +127,17 @@ def test_html(spark, tmp_path):
     (tmp_path / "b.txt").write_text("<p> stays")
     got = [r.text for r in frames.text_files(spark, str(tmp_path)).orderBy("path").collect()]
     assert got == ["T\na & b\ni", "<p> stays"]
+
+
+def test_running_sum(spark):
+    import random
+
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), i, rng.choice([None, 1, 5])) for i in range(500)]
+    df = spark.createDataFrame(data, "g string, t int, v int").withColumn("before", F.lit("x")).repartition(5)
+    got = {r.t: r.sum for r in running_sum(df, "g", ["t"], "v", "sum").collect()}
+    seen = {}
+    for g, t, v in data:
+        assert got[t] == seen.get(g, 0)
+        seen[g] = seen.get(g, 0) + (v or 0)
+    assert running_sum(df.where("false"), "g", ["t"], "v", "sum").count() == 0
