@@ -1,6 +1,7 @@
 """Mixing sources to target weights: packed blocks, multinomial counts per shard, pseudorandom permutations.
 
-The token stream of a source (its texts one after the other) is cut into blocks of fixed length. A plan gets as many
+The token stream of a source (its texts one after the other, in the order of a hash of their key, so that it doesn't
+depend on how the table is stored) is cut into blocks of fixed length. A plan gets as many
 slots as its scarcest source allows at its target share. Every output shard draws its source counts: the whole part of
 its expectation, the rest from a multinomial. The j-th slot of a source takes block perm_e(j mod blocks) of its e-th
 pass, e = j div blocks, where perm_e is a keyed permutation computed from the index alone; so no pass uses a block
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.encode import TOKENIZERS, encoder
 from skein.llm.text import slices
+from skein.operators.running import running_sum
 from skein.session import ensure_checkpoint_dir
 
 BLOCK, SHARDS, SEED = 512, 64, 20240611
@@ -51,20 +53,16 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _sized(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:
-    """Tokens of each text, and the tokens of its source before it within its partition. Nothing is shuffled."""
+    """Tokens of each text. Nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, seen = encoder(tokenizer), {}
+        code = encoder(tokenizer)
         for part in slices(batches, 2):
             n = code.counts([t or "" for t in part.column(2).to_pylist()])
-            before = np.empty(len(n), np.int64)
-            for i, (s, k) in enumerate(zip(part.column(1).to_pylist(), n.tolist())):
-                before[i] = seen.get(s, 0)
-                seen[s] = seen.get(s, 0) + k
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(n, pa.int64()), pa.array(before)], names=["doc", "source", "part", "n_tokens", "before"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64())], names=["doc", "source", "n_tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("doc"), "source", text, "part").mapInArrow(run, f"doc {kind}, source string, part int, n_tokens bigint, before bigint")
+    return df.select(F.col(key).alias("doc"), "source", text).mapInArrow(run, f"doc {kind}, source string, n_tokens bigint")
 
 
 def draw(plans: list[tuple[str, str, float, int]], blocks: dict[str, int], tokens: dict[str, int], shards: int, seed: int) -> tuple[list[tuple], dict[str, int]]:
@@ -125,13 +123,10 @@ def mix(df: DataFrame, plans: DataFrame, key: str, source: str, text: str, block
             wanted[r.plan_code, r.source] = (w + max(r.target_share or 0.0, 0.0), min(m, max(r.max_repeat or 0, 0)))
     lines = [(p, s, w, m) for (p, s), (w, m) in sorted(wanted.items())]
     named = sorted({s for _, s, _, _ in lines})
-    texts = df.select(F.col(key), source_key(F.col(source)).alias("source"), F.col(text), F.spark_partition_id().alias("part"))
-    sized = _sized(texts.where(F.col("source").isin(named) & (F.length(text) > 0)), key, text, tokenizer).checkpoint()
-    # one row per partition and source
-    parts = sized.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
-    w = Window.partitionBy("source").orderBy("part")
-    parts = parts.select("part", "source", (F.sum("n").over(w) - F.col("n")).alias("base"))
-    placed = sized.where("n_tokens > 0").join(parts, ["part", "source"]).select("doc", "source", (F.col("base") + F.col("before")).alias("start"), "n_tokens")
+    texts = df.select(F.col(key), source_key(F.col(source)).alias("source"), F.col(text))
+    sized = _sized(texts.where(F.col("source").isin(named) & (F.length(text) > 0)), key, text, tokenizer).where("n_tokens > 0").checkpoint()
+    # places in the token stream: only keys and sizes are sorted; texts of equal key and size are interchangeable
+    placed = running_sum(sized.withColumn("h", F.xxhash64("doc")), "source", ["h", "doc", "n_tokens"], "n_tokens", "start")
     totals = {r.source: r.n for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     blocks = {s: -(-n // block) for s, n in totals.items()}
     drawn, _ = draw(lines, blocks, totals, shards, seed)
@@ -155,7 +150,8 @@ def mix(df: DataFrame, plans: DataFrame, key: str, source: str, text: str, block
     end = F.col("start") + F.col("n_tokens")
     cut = placed.select("doc", "source", "start", "n_tokens", F.explode(F.sequence((F.col("start") / block).cast("bigint"), ((end - 1) / block).cast("bigint"))).alias("block"))
     cut = cut.select("doc", "source", "block", (F.greatest(F.col("start"), F.col("block") * block) - F.col("start")).alias("from_token"), (F.least(end, (F.col("block") + 1) * block) - F.col("start")).alias("to_token"))
-    mixed = slots.join(cut, ["source", "block"]).select("plan_code", "shard", "source", "slot", "block", "pass_no", "doc", "from_token", "to_token")
+    # both sides grow with the corpus, so neither is ever broadcast, whatever size is guessed for it
+    mixed = slots.join(cut.hint("merge"), ["source", "block"]).select("plan_code", "shard", "source", "slot", "block", "pass_no", "doc", "from_token", "to_token")
     present = {p: sum(w for q, s, w, m in lines if q == p and blocks.get(s) and m) for p, *_ in lines}
     report = spark.createDataFrame([(p, s, w, w / present[p] if blocks.get(s) and m and present[p] else 0.0, blocks.get(s, 0), totals.get(s, 0), m) for p, s, w, m in lines], "plan_code string, source string, target_share double, wanted_share double, blocks bigint, available_tokens bigint, max_repeat int")
     reached = mixed.groupBy("plan_code", "source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("tokens"), F.max(F.col("pass_no") + 1).alias("passes"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions.text import STAND_INS, code_key
 from skein.llm import encode, jaccard, mixing, neighbours, pairs, quantiles, repeated_lines, spam_pages, splitting, threads
 from skein.operators.versions import in_force
+from skein.session import ensure_checkpoint_dir
 from skein.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,8 +97,8 @@ WHERE rn = 1 AND coalesce(status, 1) <> 0 AND length(trim(chunk_text, ' ' || chr
 @query
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces themselves, with their new number in the document."""
-    chunks = _chunks(spark, sf_dir, "document_id", "chunk_no", "parent_block_id")
-    pieces = splitting.split_oversized(chunks, "id", "chunk_text", "document_id", "chunk_no", "parent_block_id", 800, 120)
+    ensure_checkpoint_dir(spark)
+    pieces = _pieces(spark, sf_dir).checkpoint()  # they are numbered and returned, but cut once
     numbers = splitting.renumbered(in_force(table(spark, sf_dir, "document_chunk"), ["document_id", "chunk_no"]), pieces, "id", "document_id", "chunk_no")
     return pieces.join(numbers, ["id", "piece_no"]).withColumnRenamed("id", "chunk_id")
 

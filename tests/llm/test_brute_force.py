@@ -210,6 +210,31 @@ def test_split_round_trip(t, limit, overlap):
     assert (len(parts) > 1) == (len(whole) > limit)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab e\u0301\u0302 。\n", min_size=60, max_size=400), st.integers(30, 60), st.integers(0, 12))
+def test_pieces_begin_with_a_character(t, limit, overlap):
+    whole = t.strip(splitting.BLANKS)
+    longest = max((len(m) for m in re.findall("[\u0301\u0302]+", whole)), default=0)
+    parts = splitting.split(t, limit, overlap)
+    assert parts[0][1] + "".join(p[overlap:] for _, p in parts[1:]) == whole
+    if longest <= 2:  # there is always a place for a cut
+        assert not any(p[0] in "\u0301\u0302" for _, p in parts[1:])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc .\n中文字é🙂", max_size=300), st.integers(16, 60), st.integers(0, 15))
+def test_split_keeps_the_token_limit(t, tokens, overlap):
+    code = encode.encoder(TOKENIZER)
+    parts = splitting.split(t, 90, overlap, tokens, code.counts)
+    whole = t.strip(splitting.BLANKS)
+    assert all(len(p) <= 90 for _, p in parts) and code.counts([p for _, p in parts]).max() <= tokens
+    at = 0
+    for begin, p in parts:  # nothing is lost, and no piece begins before the one before it
+        assert begin <= at and whole[begin : begin + len(p)] == p
+        at = begin + len(p)
+    assert at == len(whole)
+
+
 def test_split_prefers_strong_borders():
     t = "word " * 30 + "end.\n\n" + "word " * 30
     cut = splitting.split(t, 200, 0)[0][1]
@@ -222,7 +247,11 @@ def test_split_rows(spark):
     pieces = splitting.split_oversized(df, "id", "t", "d", "no", "p").collect()
     assert {r.id for r in pieces} == {1, 4} and all(r.char_count <= 800 for r in pieces)
     numbers = splitting.renumbered(df, splitting.split_oversized(df, "id", "t", "d", "no", "p"), "id", "d", "no")
-    assert [(r.id, r.piece_no) for r in numbers.where("d is null or true").where("id <> 4").orderBy("new_number").collect()] == [(2, None), (1, 0), (1, 1), (1, 2), (3, None)]
+    code = encode.encoder(TOKENIZER)
+    assert all(r.token_count == code.counts([r.piece_text])[0] for r in pieces)
+    few = splitting.split_oversized(df, "id", "t", "d", "no", "p", 800, 10, tokens=50).collect()
+    assert {r.id for r in few} == {1, 4} and all(r.token_count <= 50 for r in few)
+    assert [(r.id, r.piece_no) for r in numbers.where("id <> 4").orderBy("new_number").collect()] == [(2, None), (1, 0), (1, 1), (1, 2), (3, None)]
 
 
 # conversations
@@ -426,6 +455,8 @@ def test_mixture(spark):
     assert got["p", "absent"].tokens == got["q", "absent"].tokens == 0
     for s, want in (("big", 1 / 2), ("mid", 1 / 3), ("small", 1 / 6)):
         assert abs(got["p", s].actual_share - want) < 0.02
+    again = mixing.mix(df.repartition(7, "text"), plans, "doc_id", "source", "text", block=64, shards=8)[0]
+    assert rows(again) == rows(mixed)  # however the table is stored
     assert mixing.mix(df.where("false"), plans, "doc_id", "source", "text")[0].count() == 0
 
 
