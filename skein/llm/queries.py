@@ -130,10 +130,52 @@ def p4_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _conversations(spark, sf_dir)[0]
 
 
+def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_force(table(spark, sf_dir, "chat_exchange_trace_stage"), ["parent_stage_id"])
+
+
+@query
+def p4_stage_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, depth and state of every stage by its own parent pointer."""
+    return threads.resolve_threads(_stages(spark, sf_dir), "id", "parent_stage_id").withColumnRenamed("id", "stage_id")
+
+
+@query
+def p4_stage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way from a root to a leaf of the stages' trees."""
+    return threads.root_paths(_stages(spark, sf_dir), "id", "parent_stage_id").select("leaf", "depth", F.col("id").alias("stage_id"))
+
+
+_TREES = """
+WITH RECURSIVE v AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY edit_time DESC NULLS LAST) AS rn FROM chat_exchange_trace_stage),
+s AS (SELECT id, parent_stage_id AS up FROM v WHERE rn = 1 AND coalesce(status, 1) <> 0),
+t AS (
+  SELECT id, coalesce(up, id) AS root, CASE WHEN up IS NULL THEN 0 ELSE 1 END AS depth, CASE WHEN up IS NULL THEN 'ok' ELSE 'orphan' END AS state
+  FROM s WHERE up IS NULL OR up NOT IN (SELECT id FROM s)
+  UNION ALL
+  SELECT s.id, t.root, t.depth + 1, t.state FROM s JOIN t ON s.up = t.id)
+"""
+SQL["p4_stage_threads"] = _TREES + "SELECT s.id AS stage_id, root, depth::BIGINT AS depth, coalesce(state, 'cycle') AS state FROM s LEFT JOIN t ON t.id = s.id"
+SQL["p4_stage_paths"] = _TREES + """,
+w AS (
+  SELECT id AS leaf, id, depth FROM t WHERE id NOT IN (SELECT up FROM s WHERE up IS NOT NULL)
+  UNION ALL
+  SELECT w.leaf, s.up, w.depth - 1 FROM w JOIN s ON s.id = w.id WHERE s.up IN (SELECT id FROM s))
+SELECT leaf, depth::BIGINT AS depth, id AS stage_id FROM w
+"""
+_CONVERSATIONS = """, kept AS (
+  SELECT dialogue_code, code FROM dialogues LEFT JOIN verdict USING (code)
+  WHERE n IS NOT NULL AND turns AND n % 2 = 0 AND code NOT IN (SELECT code FROM untimed))
+SELECT k.dialogue_code, (p.place - 1)::BIGINT AS depth, CASE p.part WHEN 0 THEN 'user' ELSE 'assistant' END AS role,
+  CASE p.part WHEN 0 THEN e.user_prompt ELSE e.reply_content END AS text, e.create_time, e.id AS exchange_id
+FROM kept k JOIN placed p USING (code) JOIN exchanges e ON e.id = p.id
+"""
+
 _STAND_INS = ", ".join(f"'{x}'" for x in STAND_INS)
 _BLANK = "(coalesce(regexp_replace(lower({0}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'), '') IN ('', %s))" % _STAND_INS
 
-SQL["p4_found"] = f"""
+_DIALOGUES = f"""
 WITH d AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY edit_time DESC NULLS LAST) AS rn FROM chat_dialogue),
 dialogues AS (SELECT dialogue_code, lower(trim(dialogue_code)) AS code FROM d WHERE rn = 1 AND coalesce(status, 1) <> 0 AND dialogue_code IS NOT NULL),
@@ -147,10 +189,13 @@ messages AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY create_time, id, part) AS place FROM messages),
 verdict AS (SELECT code, count(*) AS n, bool_and(part = (place - 1) % 2) AS turns FROM placed GROUP BY code),
 untimed AS (SELECT DISTINCT code FROM exchanges WHERE create_time IS NULL)
+"""
+SQL["p4_found"] = _DIALOGUES + """
 SELECT dialogue_code FROM dialogues
 LEFT JOIN verdict USING (code)
 WHERE n IS NULL OR NOT turns OR n % 2 = 1 OR code IN (SELECT code FROM untimed)
 """
+SQL["p4_conversations"] = _DIALOGUES + _CONVERSATIONS
 
 
 # 5. similar vectors

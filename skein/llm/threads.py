@@ -3,7 +3,8 @@
 Rows of a conversation are brought into order by one range sort over (conversation, time, id), so a conversation of any
 size is spread over as many tasks as it needs. A message's parent is the one before it. Inside a sorted partition the
 chain of a conversation is contracted to a segment; only segments, at most one per conversation and one more per
-partition border, take part in the pointer-jumping joins that find roots and depths.
+partition border, take part in the pointer-jumping joins, whose roots and depths place every message and decide whose
+turn it is. Tables with parent pointers of their own go through the same joins, with orphans, cycles and branches.
 """
 
 from __future__ import annotations
@@ -17,49 +18,70 @@ from pyspark.sql import functions as F
 from skein.functions.text import code_key, is_blank
 from skein.session import ensure_checkpoint_dir
 
-#: Rounds of pointer jumping after which a chain of 2**ROUNDS messages is resolved; what still moves is a cycle.
-ROUNDS = 40
 
 
-def resolve_threads(df: DataFrame, key: str, parent: str) -> DataFrame:
+def resolve_threads(df: DataFrame, key: str, parent: str, weight: str | None = None) -> DataFrame:
     """(key, root, depth, state) of every message: the root its parent pointers lead to, the steps to it, and 'ok',
     'orphan' (the chain ends at a parent that has no row; root is that parent) or 'cycle' (root and depth are null).
+    weight, if given, is the length of the step from a row to its parent, instead of 1.
 
     Each round replaces every pointer by the pointer of the row it points to, so a chain of n messages takes log2 n
-    joins; rows that have arrived leave the joins. Rows on or behind a cycle never arrive: they are known as soon as the
-    steps of a pointer exceed the number of open rows. Keys must be unique; rows with a null key drop out; an empty
-    table gives an empty result; other columns are ignored."""
+    joins; rows that have arrived and to which no open row points any more leave the joins. After the round that doubles
+    a reach of s steps with at most s open rows before it, what is still open lies on or behind a cycle. Keys must be
+    unique; rows with a null key drop out; an empty table gives an empty result; other columns are ignored."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    nodes = df.select(F.col(key).alias("id"), F.col(parent).alias("to")).where("id is not null")
-    nodes = nodes.select("id", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
+    step = F.lit(1) if weight is None else F.col(weight)
+    nodes = df.select(F.col(key).alias("id"), F.col(parent).alias("to"), step.cast("bigint").alias("depth")).where("id is not null")
     known = nodes.select(F.col("id").alias("k"))
-    at_root = nodes.where("to is null").select("id", F.col("id").alias("root"), "depth", F.lit("ok").alias("state"))
-    inner = nodes.where("to is not null").join(known, F.col("to") == F.col("k"), "left")
-    orphans = inner.where("k is null").select("id", F.col("to").alias("root"), "depth", F.lit("orphan").alias("state"))
-    arrived = at_root.union(orphans).checkpoint()
-    open_ = inner.where("k is not null").select("id", "to", "depth").checkpoint()
-    done = [arrived]
-    left = open_.count()
-    for _ in range(ROUNDS):
-        if not left:
-            break
-        settled = done[0]
-        for more in done[1:]:
-            settled = settled.union(more)
-        ends = settled.select(F.col("id").alias("to"), "root", F.col("depth").alias("more"), "state")
-        hit = open_.join(ends, "to").select("id", "root", (F.col("depth") + F.col("more")).alias("depth"), "state").checkpoint()
-        onward = open_.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
-        open_ = open_.join(onward, "to").select("id", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth")).join(hit.select("id"), "id", "left_anti").checkpoint()
-        done.append(hit)
-        left = open_.count()
-        if left and (open_.agg(F.min("depth")).first()[0] or 0) > 2 * left:
+    arrived = F.when(F.col("to").isNull(), "ok").when(F.col("k").isNull(), "orphan")
+    root = F.when(F.col("to").isNull(), F.col("id")).when(F.col("k").isNull(), F.col("to"))
+    depth = F.when(F.col("to").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("depth"))
+    look = nodes.join(known, F.col("to") == F.col("k"), "left").select("id", "to", depth.alias("depth"), root.alias("root"), arrived.alias("state")).checkpoint()
+    done, open_ = [look.where("state is not null")], look.where("state is null")
+    reach, left = 1, open_.count()
+    while left:
+        ends = look.select(F.col("id").alias("at"), F.col("to").alias("next"), F.col("depth").alias("more"), "root", "state")
+        moved = open_.select("id", "to", "depth").join(ends, F.col("to") == F.col("at")).select("id", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), "root", "state").checkpoint()
+        done.append(moved.where("state is not null"))
+        open_ = moved.where("state is null")
+        before, left = left, open_.count()
+        if before <= reach:
             break
+        if left:
+            targets = open_.select(F.col("to").alias("id")).distinct()
+            look = moved.unionByName(look.where("state is not null")).join(targets, "id", "left_semi").checkpoint()
+        reach *= 2
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    cycles = open_.select("id", F.lit(None).cast(open_.schema["id"].dataType).alias("root"), F.lit(None).cast("bigint").alias("depth"), F.lit("cycle").alias("state"))
-    return out.union(cycles).withColumnRenamed("id", key)
+    kind = nodes.schema["id"].dataType
+    cycles = open_.select("id", F.lit(None).cast(kind).alias("root"), F.lit(None).cast("bigint").alias("depth"), F.lit("cycle").alias("state"))
+    return out.select("id", "root", "depth", "state").unionByName(cycles).withColumnRenamed("id", key)
+
+
+def root_paths(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """(leaf, depth, key): the messages on the way from the root to every leaf, a leaf being a message without answers;
+    depth is 0 for a root and 1 for the first message whose parent is missing. Messages on or behind a cycle have no way.
+
+    The way of a leaf is doubled in each round by the 2**k-th ancestors of what is known of it, which double too, so ways
+    of n messages take log2 n rounds. Keys must be unique; rows with a null key drop out; an empty table gives an empty
+    result; other columns are ignored."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    nodes = df.select(F.col(key).alias("id"), F.col(parent).alias("to")).where("id is not null").checkpoint()
+    depths = resolve_threads(nodes, "id", "to").where("state <> 'cycle'").select("id", "depth").checkpoint()
+    jump = nodes.join(nodes.select(F.col("id").alias("to")), "to").select("id", "to")
+    leaves = depths.join(nodes.select(F.col("to").alias("id")).where("id is not null").distinct(), "id", "left_anti")
+    way = leaves.select(F.col("id").alias("leaf"), "id", "depth").checkpoint()
+    reach = 1
+    while True:
+        more = way.join(jump.select("id", F.col("to").alias("up")), "id").select("leaf", F.col("up").alias("id"), (F.col("depth") - reach).alias("depth")).checkpoint()
+        if not more.count():
+            return way.select("leaf", "depth", F.col("id").alias(key))
+        way = way.unionByName(more)
+        jump = jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")).checkpoint()
+        reach *= 2
 
 
 def messages(exchanges: DataFrame, code: str, prompt: str, reply: str, time: str, key: str = "id") -> DataFrame:
@@ -111,24 +133,22 @@ def conversations(rows: DataFrame, texts: bool = True) -> tuple[DataFrame, DataF
         F.max(F.struct("step", "role"))["role"].alias("last_role"),
         F.bool_and(F.coalesce(F.col("role") != F.col("role_before"), F.lit(True))).alias("turns"),
     )
-    # few rows per conversation: as many as there are partitions that it lies in
+    # few rows per conversation: as many as there are partitions that it lies in; a segment's parent is the one before it
     w = Window.partitionBy("conversation").orderBy("stretch")
     name = F.concat_ws("/", F.col("conversation"), F.col("stretch"))
-    segments = segments.select("*", name.alias("segment"), F.lag(name).over(w).alias("parent"), F.lag("last_role").over(w).alias("parent_role"), (F.sum("n").over(w) - F.col("n")).alias("offset")).checkpoint()
-    resolved = resolve_threads(segments, "segment", "parent")
-    placed = segments.join(resolved, "segment")
+    segments = segments.select("*", name.alias("segment"), F.lag(name).over(w).alias("parent"), F.lag("n").over(w).alias("step")).checkpoint()
+    # depth: the messages between the root and the first message of the segment
+    placed = segments.join(resolve_threads(segments, "segment", "parent", "step"), "segment").checkpoint()
+    due = F.when(F.col("depth") % 2 == 0, "user").otherwise("assistant")
     verdicts = placed.groupBy("conversation").agg(
         F.sum("n").alias("n"),
-        F.bool_and(
-            F.col("turns")
-            & (F.col("state") == "ok")
-            & F.when(F.col("depth") == 0, F.col("first_role") == "user").otherwise(F.col("first_role") != F.col("parent_role"))
-        ).alias("turns"),
+        F.bool_and(F.col("turns") & (F.col("state") == "ok") & (F.col("first_role") == due)).alias("turns"),
         F.max_by("last_role", "depth").alias("last_role"),
     )
     untimed = rows.where("time is null").select("conversation").distinct().withColumn("untimed", F.lit(True))
     verdicts = verdicts.join(untimed, "conversation", "full").select("conversation", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.col("turns") & (F.col("last_role") == "assistant") & F.col("untimed").isNull(), F.lit(False)).alias("whole"))
-    paths = linked.join(placed.select("conversation", "stretch", "offset"), ["conversation", "stretch"]).withColumn("depth", F.col("offset") + F.col("step")).drop("stretch", "step", "offset", "role_before")
+    starts = placed.select("conversation", "stretch", F.col("depth").alias("start"))
+    paths = linked.join(starts, ["conversation", "stretch"]).withColumn("depth", F.col("start") + F.col("step")).drop("stretch", "step", "start", "role_before")
     return paths, verdicts
 
 

@@ -267,6 +267,41 @@ def test_resolve_threads(spark):
     assert threads.resolve_threads(spark.createDataFrame([], "id bigint, parent bigint"), "id", "parent").count() == 0
 
 
+def test_resolve_random_forests(spark):
+    rng = random.Random(8)
+    data, step = {}, {}
+    for i in range(400):
+        data[i] = None if i % 60 == 0 else i - 1 if i % 3 else rng.randrange(i)  # long chains with branches
+        step[i] = rng.randint(1, 9)
+    data |= {1000 + i: 1000 + (i + 1) % 37 for i in range(37)} | {2000: 1003, 2001: 2000, 3000: 9999, 3001: 3000}
+    df = spark.createDataFrame([(i, p, step.get(i, 1)) for i, p in data.items()], "id bigint, parent bigint, step int").withColumn("root", F.lit(1)).withColumn("depth", F.lit(1))
+
+    def way(i):
+        out = [i]
+        while data[out[-1]] is not None and data[out[-1]] in data and len(out) < 999:
+            out.append(data[out[-1]])
+        return out if len(out) < 999 else None
+
+    got = {r.id: (r.root, r.depth, r.state) for r in threads.resolve_threads(df, "id", "parent", "step").collect()}
+    for i in data:
+        w = way(i)
+        if w is None:
+            assert got[i] == (None, None, "cycle")
+        else:
+            top = data[w[-1]]
+            steps = sum(step.get(x, 1) for x in (w if top is not None else w[:-1]))
+            assert got[i] == ((w[-1], steps, "ok") if top is None else (top, steps, "orphan"))
+    ways = {}
+    for r in threads.root_paths(df, "id", "parent").collect():
+        ways.setdefault(r.leaf, {})[r.depth] = r.id
+    leaves = {i for i in data if i not in set(data.values()) and way(i)}
+    assert set(ways) == leaves
+    for leaf, own in ways.items():
+        w = way(leaf)[::-1]
+        assert own == {d + (data[w[0]] is not None): i for d, i in enumerate(w)}
+    assert threads.root_paths(df.where("false"), "id", "parent").count() == 0
+
+
 def test_conversations(spark):
     from datetime import datetime
 
