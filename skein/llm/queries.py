@@ -68,7 +68,7 @@ def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repeated blocks by length: how many there are and the most documents one spans."""
+    """The longest repeated blocks by length: how many there are, the most documents one spans, and their places."""
     _, _, blocks = _repeated(spark, sf_dir)
     return blocks.groupBy("n_lines").agg(F.count(F.lit(1)).alias("blocks"), F.max("documents").alias("most_documents"), F.sum("n").alias("places"))
 

@@ -71,7 +71,7 @@ def edited(rng, words):
     return w
 
 
-@pytest.mark.parametrize(("t", "width", "hot"), [(0.6, 3, 50_000), (0.6, 3, 2), (0.8, 5, 3)])
+@pytest.mark.parametrize(("t", "width", "hot"), [(0.6, 3, 50_000), (0.6, 3, 2), (0.8, 5, 3), (0.4, 1, 8)])
 def test_similar_texts_finds_every_pair(spark, t, width, hot):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(25)]  # few words, so that shingles are shared widely
@@ -94,6 +94,42 @@ def test_similar_texts_finds_every_pair(spark, t, width, hot):
         assert len(set(group.values())) == len(own) - forest(own, want)
 
 
+def test_low_similarity_of_small_sets(spark):
+    """One hot shared shingle is enough for a pair."""
+    data = [(i, f"hot own{i}") for i in range(12)] + [(50, "hot"), (51, "hot hot"), (60, "cold")]
+    df = spark.createDataFrame(data, "id bigint, t string")
+    classes, copies, near = jaccard.similar_texts(df, "id", "t", 0.3, 1, hot=2)
+    got = {tuple(r) for r in jaccard.member_pairs(copies, near, "id", "a", "b").collect()}
+    assert got == {(a, b) for a, b in itertools.combinations([i for i, _ in data if i < 60], 2)}
+
+
+def test_full_sketch():
+    """A sketch whose counters are all high makes as many entries as an empty one, and templates stay few too."""
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(0, 1 << 63, 420).astype(np.uint64))[:400]
+    at, size = np.array([0, 400]), 1 << 12
+    base = np.rint(np.log2(1 + rng.poisson(70_000, size)) * jaccard.STEPS).astype(np.uint16)
+    plain = jaccard.entries(h, at, np.full(size, 2 * int(jaccard.STEPS), np.uint16), jaccard.hot_level(np.full(size, 512, np.uint16), 50_000), 0.6, 1)
+    full = jaccard.entries(h, at, base, jaccard.hot_level(base, 50_000), 0.6, 1)
+    assert len(full[0]) == len(plain[0]) == 161
+    # a template: 55 % of the shingles stand in a million texts, the rest of the text is its own
+    slots = (h[:220] & np.uint64(size - 1)).astype(np.int64)
+    base[slots] = int(np.log2(1_070_000) * jaccard.STEPS)
+    own = np.setdiff1d((h[220:] & np.uint64(size - 1)).astype(np.int64), slots)
+    got = len(jaccard.entries(h, at, base, jaccard.hot_level(base, 50_000), 0.6, 1)[0])
+    assert len(own) >= 161 and got <= 161
+
+
+def test_sketches_are_added_as_a_tree(spark, monkeypatch):
+    texts = [(i, f"a{i % 3} b{i % 5} c d e{i}") for i in range(300)]
+    df = spark.createDataFrame(texts, "id bigint, t string").repartition(9)
+    one = jaccard._sketch(jaccard._counts(df, "id", "t", 1, 1, 1 << 20).checkpoint(), 1 << 20)
+    monkeypatch.setattr(jaccard, "FAN_IN", 2)
+    assert (jaccard._sketch(jaccard._counts(df, "id", "t", 1, 1, 1 << 20).checkpoint(), 1 << 20) == one).all()
+    h = jaccard.shingles(["c"], 1)[0][0]
+    assert abs(2 ** (one[int(h) & ((1 << 20) - 1)] / jaccard.STEPS) - 301) < 2
+
+
 def forest(nodes, edges):
     up, joined = {n: n for n in nodes}, 0
 
@@ -170,7 +206,7 @@ def test_repeated_lines(spark):
     scopes = spark.createDataFrame([(i, "s") for i in range(8)] + [(50, "s"), (51, "s"), (100, None)], "document_id bigint, scope string")
     lines, blocks = repeated_lines.repeated_lines(df, scopes, "id", "document_id", "t", "scope", 6, 10)
     assert {(r.row_id, r.line_no) for r in lines.collect()} == {(i, n) for i in range(8) for n in (1, 2)} | {(24, 0), (24, 1)}
-    assert sorted((r.n_lines, r.documents, r.n) for r in blocks.collect()) == [(1, 8, 9), (1, 8, 9), (2, 8, 9)]
+    assert [(r.n_lines, r.documents, r.n) for r in blocks.collect()] == [(2, 8, 9)]
     left = {r.id: r.t for r in repeated_lines.without_lines(df, lines, "id", "t").collect()}
     assert left[0] == "Own line of number a here\nshort" and left[24] == "" and left[21] is None and left[20] == f"{notice}\n{share}"
 
@@ -180,7 +216,7 @@ def test_hot_line_is_split(spark, monkeypatch):
     df = spark.createDataFrame([(i, i % 9, "the same old notice\nand one more of them") for i in range(40)], "id bigint, d bigint, t string")
     scopes = spark.createDataFrame([(i, "s") for i in range(9)], "d bigint, scope string")
     lines, blocks = repeated_lines.repeated_lines(df, scopes, "id", "d", "t", "scope")
-    assert lines.count() == 80 and sorted((r.n_lines, r.documents) for r in blocks.collect()) == [(1, 9), (1, 9), (2, 9)]
+    assert lines.count() == 80 and [(r.n_lines, r.documents, r.n) for r in blocks.collect()] == [(2, 9, 40)]
 
 
 def test_long_block(spark):
@@ -189,7 +225,43 @@ def test_long_block(spark):
     scopes = spark.createDataFrame([(i, "s") for i in range(7)], "d bigint, s string")
     lines, blocks = repeated_lines.repeated_lines(df, scopes, "id", "d", "t", "s")
     assert lines.count() == 700
-    assert {r.n_lines: (r["count"], r.least) for r in blocks.groupBy("n_lines").agg(F.count(F.lit(1)).alias("count"), F.min("documents").alias("least")).collect()} == {n: (101 - n, 7) for n in range(1, 101)}
+    assert [(r.n_lines, r.documents, r.n) for r in blocks.collect()] == [(100, 7, 7)]
+    assert {r.line_no: r.n_lines for r in lines.where("row_id = 3").collect()} == {i: 101 - i for i in range(1, 101)}
+
+
+@pytest.mark.parametrize(("depth", "bucket"), [(16, 20_000), (2, 20_000), (4, 5)])
+def test_longest_blocks(spark, monkeypatch, depth, bucket):
+    """Longest blocks and covered lines against all runs of all lengths."""
+    monkeypatch.setattr(repeated_lines, "DEPTH", depth)
+    monkeypatch.setattr(repeated_lines, "BUCKET_ROWS", bucket)
+    rng = random.Random(11)
+    name = lambda i: "line " + "".join(chr(97 + int(c)) for c in f"{i:04}") + " of many"
+    notices = [[name(rng.randrange(30)) for _ in range(rng.randint(1, 9))] for _ in range(6)]
+    texts = []
+    for i in range(60):
+        own = [name(1000 + i)]
+        for _ in range(rng.randint(0, 4)):
+            own += rng.choice(notices)[rng.randint(0, 2) :] + ([name(2000 + rng.randrange(200))] if rng.random() < 0.5 else [])
+        texts.append((i, i % 23, own))
+    df = spark.createDataFrame([(i, d, "\n".join(t)) for i, d, t in texts], "id bigint, d bigint, t string")
+    scopes = spark.createDataFrame([(d, "s" if d % 5 else "z") for d in range(23)], "d bigint, s string")
+    spans, places = {}, {}
+    for i, d, t in texts:
+        for a in range(len(t)):
+            for b in range(a + 1, len(t) + 1):
+                k = (d % 5 == 0, tuple(t[a:b]))
+                spans.setdefault(k, set()).add(d)
+                places[k] = places.get(k, 0) + 1
+    longest = {}
+    for i, d, t in texts:
+        for a in range(len(t)):
+            n = max((b - a for b in range(a + 1, len(t) + 1) if len(spans[d % 5 == 0, tuple(t[a:b])]) >= 3), default=0)
+            if n:
+                longest[i, a] = n
+    lines, blocks = repeated_lines.repeated_lines(df, scopes, "id", "d", "t", "s", documents=3)
+    assert {(r.row_id, r.line_no): r.n_lines for r in lines.collect()} == longest
+    want = {(d % 5 == 0, tuple(t[a : a + longest[i, a]])) for i, d, t in texts for a in range(len(t)) if (i, a) in longest and longest.get((i, a - 1), 0) <= longest[i, a]}
+    assert rows(blocks.select("n_lines", "documents", "n")) == sorted((len(k[1]), len(spans[k]), places[k]) for k in want)
 
 
 def test_no_repeated_lines(spark):
