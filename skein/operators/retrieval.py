@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.session import ensure_checkpoint_dir
+
 K1, B = 1.2, 0.75  # [choice]
 RRF_K = 60
 VECTOR_FLOOR, KEYWORD_FLOOR = 0.45, 0.35
@@ -17,8 +19,8 @@ CHANNEL_TOP, MERGED_TOP, FINAL_TOP = 8, 10, 5
 PARENT_CHARS, PART_CHARS, TOTAL_CHARS = 2200, 2200, 5200
 CHUNK_CHARS, CHUNK_OVERLAP = 800, 120
 
-#: Queries and vectors that one task compares.
-QUERY_BLOCK, VECTOR_BLOCK = 2048, 16384
+#: Queries, vectors and texts that one task compares.
+QUERY_BLOCK, VECTOR_BLOCK, TEXT_BLOCK = 2048, 16384, 32768
 
 
 def window_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -47,8 +49,16 @@ def semantic_chunks(df: DataFrame, key: str, text: str, most: int = 700, least:
     return df.where(F.length(text) > 0).select(key, F.posexplode(folded).alias("chunk_no", "chunk_text"))
 
 
+IDEOGRAPHS = "\u4e00-\u9fff"
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Runs of letters and digits in lower case; of a run of ideographs, every two that stand side by side."""
+    apart = F.regexp_replace(F.lower(text), f"([{IDEOGRAPHS}]+)", " $1 ")
+    runs = F.regexp_extract_all(apart, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
+    split = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{IDEOGRAPHS}]"), pairs(r)).otherwise(F.array(r))))
+    return F.when(apart.rlike(f"[{IDEOGRAPHS}]"), split).otherwise(runs)
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,22 +67,98 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", key, F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
 
 
-def bm25(queries: DataFrame, query_key: str, query_text: str, index: DataFrame, key: str, pruned: float = 0.0) -> DataFrame:
-    """(query_key, key, score) for all texts that share a term with a query, rounded to 6 digits. Postings meet
-    queries by term; frequencies are counted only for terms that a query has. pruned drops that share of each query's
-    terms, the commonest first."""
-    sizes = index.groupBy(key).agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
-    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
-    terms = asked.select("term").distinct()
-    df_ = index.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df_.crossJoin(F.broadcast(sizes)).select("term", "N", "avgdl", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # sizes is one row
-    weighted = asked.join(idf, "term")
+def store_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+    """Writes postings as a table cut by hash of the term and sorted by term, so that a read for given terms opens only
+    their buckets and skips the row groups between them."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    index.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """The postings of a stored index, of the given terms only if there are any; terms and buckets reach the scan."""
+    index = spark.read.parquet(path)
+    if terms is not None:
+        some = spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()
+        index = index.where(F.col("bucket").isin([r[0] for r in some]) & F.col("term").isin(terms))
+    return index.drop("bucket")
+
+
+def weighted_terms(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, terms: str, n: int, pruned: float = 0.0) -> DataFrame:
+    """(query_key, h, idf): the hashed terms of each query that stand in a text, with their weight. Frequencies are
+    counted only for terms that a query has. pruned drops that share of each query's terms, the commonest first."""
+    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")).withColumn("h", F.xxhash64("term"))
+    seen = docs.select(F.explode(F.array_distinct(terms)).alias("h")).join(asked.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    weighted = asked.join(seen.select("h", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "h")
     if pruned:
         w = Window.partitionBy(query_key)
         place = F.row_number().over(w.orderBy(F.round("idf", 9), "term"))
-        weighted = weighted.withColumn("__p", place).withColumn("__n", F.count(F.lit(1)).over(w)).where(F.col("__p") > F.floor(F.col("__n") * pruned)).drop("__p", "__n")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return weighted.join(index, "term").groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score"))
+        weighted = weighted.withColumn("__p", place).withColumn("__n", F.count(F.lit(1)).over(w)).where(F.col("__p") > F.floor(F.col("__n") * pruned))
+    return weighted.select(query_key, "h", "idf")
+
+
+def bm25_top(queries: DataFrame, query_key: str, query_text: str, texts: DataFrame, key: str, text: str, n: int, pruned: float = 0.0, others: bool = False, within: tuple[str, str] | None = None) -> DataFrame:
+    """(query_key, key, score, rank): the n texts of the highest BM25 score for each query, among those that share a term
+    with it; scores are rounded to 6 digits and ties go to the smaller key. others leaves out the text whose key is the
+    query's own; within names a column of the queries and one of the texts that must be equal (a filter inside the
+    channel: a document or a scope). Queries without a term in any text have no result; null texts have no terms.
+
+    Texts are read once as hashed terms. Texts and queries are cut into blocks of bounded size; in a task the postings
+    of a block of texts meet a block of queries, and n texts per query leave it, so no (query, text) score is shuffled."""
+    spark = texts.sparkSession
+    ensure_checkpoint_dir(spark)
+    q_in, d_in = (F.col(c).cast("string") for c in within) if within else (F.lit(None).cast("string"),) * 2
+    docs = texts.select(F.col(key).cast("bigint").alias("id"), F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("terms"), d_in.alias("inside")).where(F.size("terms") > 0).checkpoint()
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
+    total, avgdl = size.n, size.avgdl or 1.0
+    terms = weighted_terms(queries, query_key, query_text, docs, "terms", total, pruned).groupBy(query_key).agg(F.collect_list("h").alias("terms"), F.collect_list("idf").alias("idf"))
+    asked = terms.join(queries.select(query_key, q_in.alias("inside")), query_key).select(F.col(query_key).cast("bigint").alias("id"), "terms", "idf", "inside").checkpoint()
+    qb, vb = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-total // TEXT_BLOCK), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2000))
+    here = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    both = asked.select(here(qb).alias("q"), spread(vb).alias("b"), "id", "terms", "idf", "inside").unionByName(
+        docs.select(spread(qb).alias("q"), here(vb).alias("b"), "id", "terms", F.lit(None).cast("array<double>").alias("idf"), "inside")
+    )
+
+    def score(table: pa.Table) -> pa.Table:
+        is_query = table.column("idf").is_valid().to_numpy()
+        ids = table.column("id").to_numpy()
+        inside = np.array(table.column("inside").to_pylist(), object)
+        lists = table.column("terms").combine_chunks()
+        begins, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+        d = np.flatnonzero(~is_query)
+        d = d[np.argsort(ids[d])]  # columns in order of key, so ties are too
+        dl = np.diff(begins)[d]
+        own = np.concatenate([flat[begins[i] : begins[i + 1]] for i in d]) if len(d) else flat[:0]
+        names, term = np.unique(own, return_inverse=True)
+        pair, tf = np.unique(term.astype(np.int64) * max(1, len(d)) + np.repeat(np.arange(len(d)), dl), return_counts=True)
+        doc, at = pair % max(1, len(d)), np.searchsorted(pair // max(1, len(d)), np.arange(len(names) + 1))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / avgdl))
+        idf, out = table.column("idf").combine_chunks(), []
+        for i in np.flatnonzero(is_query) if len(d) else []:
+            mine, w = flat[begins[i] : begins[i + 1]], np.asarray(idf[int(i)].values)
+            t = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+            hit = names[t] == mine
+            t, w = t[hit], w[hit]
+            if not len(t):
+                continue
+            n_each = at[t + 1] - at[t]
+            where = np.arange(int(n_each.sum())) + np.repeat(at[t] - (np.cumsum(n_each) - n_each), n_each)
+            s = np.round(np.bincount(doc[where], weights=np.repeat(w, n_each) * weight[where], minlength=len(d)), 6)
+            touched = np.bincount(doc[where], minlength=len(d)) > 0
+            if others:
+                touched &= ids[d] != ids[i]
+            if within:
+                touched &= inside[d] == inside[i]
+            c = np.flatnonzero(touched)
+            if len(c) > n:  # all that reach the n-th best score, so that ties are decided by key alone
+                c = c[s[c] >= np.partition(s[c], len(c) - n)[len(c) - n]]
+                c = c[np.argsort(-s[c], kind="stable")][:n]
+            out.append((np.full(len(c), ids[i]), ids[d[c]], s[c]))
+        a, b, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({query_key: pa.array(a, pa.int64()), key: pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    found = both.groupBy("q", "b").applyInArrow(score, f"`{query_key}` bigint, `{key}` bigint, score double")
+    return top(found, [query_key], "score", key, n)
 
 
 def top(df: DataFrame, groups: list[str], score: str, key: str, n: int, rank: str = "rank") -> DataFrame:

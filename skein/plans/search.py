@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,15 @@ from skein.functions import text as T
 from skein.operators import retrieval as R
 from skein.operators import structure as S
 from skein.plans.registry import live, live_sql, query
+from skein.session import ensure_checkpoint_dir
 from skein.sources.tables import table
 
 DOCS, CHUNKS, VECTORS, EXCHANGES, DIALOGUES, SCOPES = map(live_sql, ["agent_document", "document_chunk", "document_embedding", "chat_exchange", "chat_dialogue", "knowledge_scope_node"])
 
-TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+TOKENS = (
+    "flatten(list_transform(regexp_extract_all(regexp_replace(lower({0}), '([\u4e00-\u9fff]+)', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+'), "
+    "lambda r: CASE WHEN regexp_matches(r, '^[\u4e00-\u9fff]') THEN list_transform(range(1, greatest(length(r), 2)), lambda i: substring(r, i, 2)) ELSE [r] END))"
+)
 #: Queries are the prompts whose id is divisible by 20, against all chunks.
 ASKED = f"(SELECT id AS query_id, user_prompt FROM {EXCHANGES} WHERE id % 20 = 0 AND length(trim(user_prompt)) > 1)"
 
@@ -85,8 +91,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 
 
 def keyword_channel(spark: SparkSession, d: str, pruned: float = 0.0) -> DataFrame:
-    scores = R.bm25(asked(spark, d), "query_id", "user_prompt", index(spark, d), "id", pruned)
-    return R.top(scores, ["query_id"], "score", "id", R.CHANNEL_TOP)
+    return R.bm25_top(asked(spark, d), "query_id", "user_prompt", chunks(spark, d), "id", "chunk_text", R.CHANNEL_TOP, pruned)
 
 
 @query(bm25_sql() + " SELECT query_id, id, score, rank FROM t")
@@ -99,6 +104,28 @@ def keyword_gate(spark: SparkSession, d: str) -> DataFrame:
     return R.keyword_gate(keyword_channel(spark, d), ["query_id"])
 
 
+@query(f"WITH {POSTINGS}, q AS (SELECT DISTINCT unnest({TOKENS.format('user_prompt')}) AS term FROM {ASKED}) SELECT term, count(*) AS texts, sum(tf)::BIGINT AS places FROM p JOIN q USING (term) GROUP BY term")
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index written as a table and read back, then joined to the terms that are asked for."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/postings-{uuid.uuid4().hex}"
+    R.store_index(index(spark, d), path)
+    terms = asked(spark, d).select(F.explode(R.tokens(F.col("user_prompt"))).alias("term")).distinct()
+    return R.load_index(spark, path).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum("tf").alias("places"))
+
+
+SCOPED = f"(SELECT e.id AS query_id, e.user_prompt, s.selected_document_id FROM {EXCHANGES} e JOIN (SELECT lower(trim(dialogue_code)) AS code, selected_document_id FROM {DIALOGUES} WHERE selected_document_id IS NOT NULL) s ON s.code = lower(trim(e.dialogue_code)) WHERE e.id % 20 = 0 AND length(trim(e.user_prompt)) > 1)"
+
+
+@query(bm25_sql().replace(ASKED, SCOPED).replace("JOIN p ON p.term = w.term", f"JOIN p ON p.term = w.term JOIN (SELECT id AS pid, document_id FROM {CHUNKS}) c ON c.pid = p.id JOIN {SCOPED} a ON a.query_id = w.query_id AND a.selected_document_id = c.document_id").replace("SELECT query_id, id, round", "SELECT w.query_id, p.id, round") + " SELECT query_id, id, score, rank FROM t")
+def document_scoped_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword channel within the document that the session has selected."""
+    own = live(spark, d, "chat_dialogue", "dialogue_code", "selected_document_id").where("selected_document_id is not null").select(T.code_key(F.col("dialogue_code")).alias("code"), "selected_document_id")
+    e = live(spark, d, "chat_exchange", "dialogue_code", "user_prompt").where((F.col("id") % 20 == 0) & (F.length(F.trim("user_prompt")) > 1))
+    q = e.withColumn("code", T.code_key(F.col("dialogue_code"))).join(own, "code").select(F.col("id").alias("query_id"), "user_prompt", "selected_document_id")
+    return R.bm25_top(q, "query_id", "user_prompt", chunks(spark, d, "document_id"), "id", "chunk_text", R.CHANNEL_TOP, within=("selected_document_id", "document_id"))
+
+
 @query(bm25_sql(0.15) + " SELECT query_id, id, score, rank FROM t")
 def sparse_pruning(spark: SparkSession, d: str) -> DataFrame:
     """The keyword channel without the commonest 15 percent of each query's terms."""
@@ -129,12 +156,11 @@ def vector_gate(spark: SparkSession, d: str) -> DataFrame:
     return vector_channel(spark, d).where(F.col("score") >= R.VECTOR_FLOOR)
 
 
-# fusion: a query is a chunk with a vector whose id is divisible by 20; its whole text asks the keyword channel (the
-# SQL asks with its first 120 characters only, so it disagrees)
+# fusion: a query is a chunk with a vector whose id is divisible by 20; its whole text asks the keyword channel
 
 HYBRID = f"""WITH {POSTINGS}, {NEAR},
 z AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT id, any_value(dl) AS dl FROM p GROUP BY id)),
-src AS (SELECT c.id AS query_id, left(chunk_text, 120) AS words FROM {CHUNKS} c JOIN v ON v.id = c.id WHERE c.id % 20 = 0),
+src AS (SELECT c.id AS query_id, chunk_text AS words FROM {CHUNKS} c JOIN v ON v.id = c.id WHERE c.id % 20 = 0),
 q AS (SELECT DISTINCT query_id, unnest({TOKENS.format('words')}) AS term FROM src),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 k AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN f ON q.term = f.term JOIN p ON p.term = q.term, z WHERE id <> query_id GROUP BY ALL),
@@ -149,8 +175,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score
 def fused(spark: SparkSession, d: str) -> DataFrame:
     v = live(spark, d, "document_embedding", "embedding").where(R.is_vector("embedding", 64)).where("id % 20 = 0").select("id")
     words = chunks(spark, d).where("id % 20 = 0").join(v, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("chunk_text").alias("words"))
-    scores = R.bm25(words, "query_id", "words", index(spark, d), "id").where("id <> query_id")
-    keyword = R.keyword_gate(R.top(scores, ["query_id"], "score", "id", R.CHANNEL_TOP), ["query_id"])
+    hits = R.bm25_top(words, "query_id", "words", chunks(spark, d), "id", "chunk_text", R.CHANNEL_TOP, others=True)
+    keyword = R.keyword_gate(hits, ["query_id"])
     vector = vector_channel(spark, d).where(F.col("score") >= R.VECTOR_FLOOR)
     return R.top(R.fuse({"vector": vector, "keyword": keyword}, "query_id", "id"), ["query_id"], "rrf_score", "id", R.MERGED_TOP, "final_rank")
 
@@ -184,7 +210,7 @@ def parent_elevation(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     """Parents of the hits with their text of at most 2200 characters, in order, and the running length."""
-    hit = elevated(spark, d)
+    hit = elevated(spark, d).checkpoint()  # a few rows per query, used twice
     c = chunks(spark, d, "parent_block_id", "chunk_no").where("parent_block_id is not null and chunk_text is not null")
     own = c.join(hit.select("parent_block_id").distinct(), "parent_block_id", "left_semi")
     texts = own.groupBy("parent_block_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "id", "chunk_text"))).alias("c"))

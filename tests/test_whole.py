@@ -15,11 +15,6 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", ["hybrid_top5", "rrf_fusion", "parent_elevation", "evidence_budget", "evidence_prompt"])
-def test_whole_chunk_asks(spark, sf, con, name):
-    assert_same(catalog.QUERIES[name](spark, sf), con, catalog.SQL[name].replace("left(chunk_text, 120)", "chunk_text"))
-
-
 @pytest.mark.parametrize("name", ["rewrite_contract", "model_answers"])
 def test_all_prompts(spark, sf, con, name):
     sql = catalog.SQL[name].replace("id % 20 = 0 AND length(trim(user_prompt)) > 1", "length(trim(user_prompt)) > 0").replace("left(trim(user_prompt), 200)", "trim(user_prompt)")
