@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 #: Weekday names from Monday on, and the text for no date.
 WEEKDAYS = ["星期一", "星期二", "星期三", "星期四", "星期五", "星期六", "星期日"]
 UNKNOWN_WEEKDAY = "未知"
+DAY, SECOND = "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss"
+#: The written forms. The last is the time at UTC+8 with a Z that is only a letter.
+FORMATS = {
+    "date": DAY,
+    "hour": "yyyy-MM-dd HH",
+    "minute": "yyyy-MM-dd HH:mm",
+    "second": SECOND,
+    "millisecond": "yyyy-MM-dd HH:mm:ss:SSS",
+    "no_date": "yyyyMMdd",
+    "no_hour": "yyyyMMddHH",
+    "no_minute": "yyyyMMddHHmm",
+    "no_second": "yyyyMMddHHmmss",
+    "no_millisecond": "yyyyMMddHHmmssSSS",
+    "utc": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+}
+UNITS = {"year": "years", "month": "months", "week": "weeks", "day": "days", "hour": "hours", "minute": "mins", "second": "secs"}
 
 
 def int_day(t: Column) -> Column:
@@ -85,3 +101,31 @@ def lenient_time(text: Column) -> Column:
 
 def utc_plus_8(t: Column) -> Column:
     return F.from_utc_timestamp(t, "GMT+8")
+
+
+def formatted(t: Column, style: str) -> Column:
+    """A time in one of FORMATS; empty for null."""
+    return F.coalesce(F.date_format(utc_plus_8(t) if style == "utc" else t, FORMATS[style]), F.lit(""))
+
+
+def node(t: Column) -> Column:
+    """A time and its parts as one struct; null for null."""
+    millis = F.unix_millis(t)
+    parts = {
+        "time": formatted(t, "millisecond"), "year": F.year(t), "month": F.month(t), "day": F.day(t), "hour": F.hour(t), "minute": F.minute(t), "second": F.second(t), "millisecond": F.pmod(millis, F.lit(1000)).cast("int"),
+        "week": weekday_name(t), "day_of_year": F.dayofyear(t), "week_of_year": week_of_year(t), "week_of_year_ignore_last_year": full_week_of_year(t), "millisecond_stamp": millis, "second_stamp": F.floor(millis / 1000).cast("bigint"),
+    }
+    return F.when(t.isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+
+def added(t: Column, unit: str, n: int) -> Column:
+    """The time moved by n years, months, weeks, days, hours, minutes, seconds or milliseconds; a day that a month lacks
+    becomes its last."""
+    if unit == "millisecond":
+        return t + F.make_interval(secs=F.lit(n / 1000))
+    return t + F.make_interval(**{UNITS[unit]: F.lit(n)})
+
+
+def by_pattern(text: Column, pattern: str, default: str = "1970-01-01") -> Column:
+    """The time a text gives by a pattern; the default day for no text."""
+    return F.coalesce(F.to_timestamp(text, pattern), F.when(text.isNull(), F.to_timestamp(F.lit(default), DAY)))

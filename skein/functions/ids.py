@@ -38,3 +38,27 @@ def uid_parts(c: Column) -> tuple[Column, Column, Column]:
     seconds = F.shiftright(c, UID_WORKER_BITS + UID_SEQUENCE_BITS) + UID_EPOCH_S
     worker = F.shiftright(c, UID_SEQUENCE_BITS).bitwiseAND(F.lit((1 << UID_WORKER_BITS) - 1).cast("bigint"))
     return seconds, worker, c.bitwiseAND(F.lit((1 << UID_SEQUENCE_BITS) - 1).cast("bigint"))
+
+
+class Layout:
+    """Ids of 64 bits: a sign bit, time, worker and sequence, whose bits must fill them."""
+
+    def __init__(self, time_bits: int, worker_bits: int, sequence_bits: int):
+        if 1 + time_bits + worker_bits + sequence_bits != 64:
+            raise ValueError("sign, time, worker and sequence must have 64 bits together")
+        self.worker_shift, self.time_shift = sequence_bits, worker_bits + sequence_bits
+        self.most_time, self.most_workers, self.most_sequence = ((1 << n) - 1 for n in (time_bits, worker_bits, sequence_bits))
+
+    def allocate(self, time: Column, worker: Column, sequence: Column) -> Column:
+        part = lambda c, n: F.shiftleft(c.cast("bigint"), n)
+        return part(time, self.time_shift).bitwiseOR(part(worker, self.worker_shift)).bitwiseOR(sequence.cast("bigint"))
+
+
+def base36(c: Column) -> Column:
+    """A whole number in lower-case base 36."""
+    return F.lower(F.conv(c.cast("string"), 10, 36))
+
+
+def log2_floor(c: Column) -> Column:
+    """The magnitude of a positive whole number in bits, from its binary digits, so that powers of two are exact."""
+    return F.when(c > 0, (F.length(F.bin(c)) - 1).cast("bigint"))

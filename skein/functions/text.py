@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What people and programs write for a missing value.
 STAND_INS = ["null", "none", "nil", "nan", "na", "n/a", "undefined", "empty", "no content", "n.a", "无内容", "无", "空", "void", "missing", "not available", "no data", "sin contenido", "kein inhalt", "leer", "vacío"]
@@ -12,7 +13,12 @@ _EDGES = r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 def code_key(c: Column) -> Column:
     """A code without outer spaces and in lower case."""
-    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.lower(stripped(c))
+
+
+def stripped(c: Column) -> Column:
+    """A text without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def is_blank(c: Column) -> Column:
@@ -140,3 +146,44 @@ def tenths(c: Column, unit: int) -> Column:
     up = F.floor((rest * 20 + unit) / (2 * unit)) - F.when((F.pmod(rest * 10, F.lit(unit)) * 2 == unit) & below, 1).otherwise(0)
     n = F.floor((c - rest) / unit) * 10 + up
     return F.concat(F.floor(n / 10).cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many digits behind the point; a dash for none."""
+    return F.when(c.isNull() | F.isnan(c), "-").otherwise(F.format_string(f"%.{digits}f", c))
+
+
+def thousands(c: Column) -> Column:
+    """A whole number with a comma between thousands; 0 for none."""
+    return F.format_number(F.coalesce(c, F.lit(0)), 0)
+
+
+def page_window(page: Column, total: Column) -> Column:
+    """The page numbers shown beside a page: all of up to seven, else the first, the last and those around, with dots."""
+    text = lambda c: c.cast("string")
+    join = lambda *parts: F.concat_ws(" ", *[F.lit(x) if isinstance(x, str) else text(x) for x in parts])
+    every = F.array_join(F.transform(F.sequence(F.lit(1).cast("bigint"), total.cast("bigint")), lambda x: x.cast("string")), " ")
+    late = join("1 ...", total - 4, total - 3, total - 2, total - 1, total)
+    return F.when(total <= 7, every).when(page <= 4, join("1 2 3 4 5 ...", total)).when(page >= total - 3, late).otherwise(join("1 ...", page - 1, page, page + 1, "...", total))
+
+
+def allowed(c: Column, codes: list[str]) -> Column:
+    """The codes of a list that are in a set, each once, in the order of their first place."""
+    known = F.array(*map(F.lit, codes))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: F.array_contains(known, x)))
+
+
+def stringified(c: Column, kind: T.DataType) -> Column:
+    """The same value with every number in it as text, at every level of structs, arrays and maps."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[stringified(c[f.name], f.dataType).alias(f.name) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: stringified(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda k, v: stringified(v, kind.valueType))
+    return c.cast("string") if isinstance(kind, T.NumericType) else c
+
+
+def pretty(c: Column, schema: str) -> Column:
+    """JSON of a known schema broken into indented lines; what is no such JSON stays as it is."""
+    return F.coalesce(F.to_json(F.from_json(c, schema), {"pretty": "true"}), c)

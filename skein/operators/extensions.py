@@ -6,18 +6,15 @@ are tested without one.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ("chat model", "embedding model", "rerank model", "channel", "chunk strategy", "memory strategy", "tool")
-WORDS = re.compile(r"[^\W_]+")
 _parts: dict[tuple[str, str], Callable] = {}
 
 
@@ -46,25 +43,27 @@ def echo_model(prompt: Column) -> Column:
 
     @F.pandas_udf(T.StringType())
     def answer(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else f"echo: {x[:80]}")
+        return "echo: " + s.str[:80]
 
     return answer(prompt)
 
 
 @register("embedding model", "hashed")
 def hashed_embedding(text: Column, width: int = 64) -> Column:
-    """Unit vectors of hashed words; null for texts without words."""
+    """Unit vectors of hashed words; null for texts without words. Words are cut and hashed in the JVM, a batch is one
+    count."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(s: pd.Series) -> pd.Series:
-        def one(x):
-            slots = [zlib.crc32(w.encode()) % width for w in WORDS.findall(x.lower())] if x else []
-            v = np.bincount(slots, minlength=width) if slots else None
-            return None if v is None else (v / np.linalg.norm(v)).astype(np.float32)
+        sizes = np.array([0 if x is None else len(x) for x in s], np.int64)
+        v = np.zeros((len(s), width))
+        if sizes.sum():
+            np.add.at(v, (np.repeat(np.arange(len(s)), sizes), np.concatenate([x for x in s if x is not None and len(x)])), 1)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return pd.Series([row if n else None for row, n in zip(v.astype(np.float32), sizes)])
 
-        return s.map(one)
-
-    return embed(text)
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return embed(F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int")))
 
 
 @register("rerank model", "overlap")
@@ -92,8 +91,6 @@ def semantic(df: DataFrame, key: str, text: str) -> DataFrame:
 def structure(df: DataFrame, key: str, text: str) -> DataFrame:
     """A chunk per heading with the lines below it."""
     lines = df.where(F.length(text) > 0).select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     part_no = F.sum(F.when(F.col("line").rlike(r"^#{1,6}\s"), 1).otherwise(0)).over(w)
     grouped = lines.withColumn("chunk_no", part_no).groupBy(key, "chunk_no").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
@@ -134,8 +131,50 @@ def session_context(messages: Column, focus: Column) -> Column:
     return F.concat(F.lit("messages="), F.size(messages).cast("string"), F.lit(", focus="), F.coalesce(F.trim(focus), F.lit("")))
 
 
+@register("channel", "keyword")
+def keyword_channel(queries: DataFrame, query_key: str, query: str, texts: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    from skein.operators.retrieval import bm25_top
+
+    return bm25_top(queries, query_key, query, texts, key, text, n)
+
+
+@register("channel", "overlap")
+def overlap_channel(queries: DataFrame, query_key: str, query: str, texts: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """The texts that share most of a query's distinct terms, by an equi-join on terms."""
+    from skein.operators.retrieval import tokens, top
+
+    asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query)))).alias("__term"))
+    held = texts.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("__term"))
+    return top(asked.join(held, "__term").groupBy(query_key, key).agg(F.count(F.lit(1)).cast("double").alias("score")), [query_key], "score", key, n)
+
+
+@register("memory strategy", "none")
+def no_memory(turns: DataFrame, group: str, order: list, size: str) -> DataFrame:
+    return sliding_memory(turns, group, order, size, 1)
+
+
+@register("memory strategy", "sliding")
+def sliding_memory(turns: DataFrame, group: str, order: list, size: str, most: int = 3) -> DataFrame:
+    """The latest turns of each group; order is latest first."""
+    w = Window.partitionBy(group).orderBy(*order)
+    return turns.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+
+
+@register("memory strategy", "summary")
+def summary_memory(turns: DataFrame, group: str, order: list, size: str, budget: int = 700, kept: int = 2) -> DataFrame:
+    """All turns of a group within the budget; of a larger one the latest few, beside which a summary stands."""
+    w = Window.partitionBy(group)
+    marked = turns.withColumn("__r", F.row_number().over(w.orderBy(*order))).withColumn("__s", F.sum(size).over(w))
+    return marked.where((F.col("__s") <= budget) | (F.col("__r") <= kept)).drop("__r", "__s")
+
+
+@F.pandas_udf(T.DoubleType())
+def range_middle(low: pd.Series, high: pd.Series) -> float:
+    """An aggregate over a group's ends: the middle between the lowest and the highest."""
+    return float((low.min() + high.max()) / 2)
+
+
 def register_sql(spark: SparkSession) -> list[str]:
     """Makes the models callable from SQL."""
-    embed = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else f"echo: {x[:80]}"), T.StringType())
-    spark.udf.register("echo_model", embed)
+    spark.udf.register("echo_model", F.pandas_udf(lambda s: "echo: " + s.str[:80], T.StringType()))
     return ["echo_model"]

@@ -5,6 +5,9 @@ Constants that no source fixes are marked [choice].
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -239,7 +242,67 @@ def within_budget(df: DataFrame, groups: list[str], order: list, size: Column, b
 
 
 def split_questions(text: Column, most: int = 4) -> Column:
-    """Sub-questions where they are explicit: question marks, semicolons, line breaks, numbering. At most `most`."""
-    marked = F.regexp_replace(text, r"(?m)^\s*\d+[.、)]\s*", "\n")
-    parts = F.filter(F.transform(F.split(marked, r"(?<=[?？])|[;；\n]+"), lambda x: F.trim(x)), lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) > 0)
-    return F.slice(F.when(F.size(parts) == 0, F.array(F.trim(text))).otherwise(parts), 1, most)
+    """Sub-questions where they are explicit: question marks, semicolons, line breaks, numbering; and of several subjects
+    asked about one by one (before 分别), each with the question. At most `most`."""
+    marked = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*\d+[.、)]\s*", "\n"), r"([?？])", "$1\n")
+    parts = F.filter(F.transform(F.split(marked, r"[;；\n]+"), lambda x: F.trim(x)), lambda x: F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) > 0)
+    before, after = F.substring_index(text, "分别", 1), F.substring_index(text, "分别", -1)
+    subjects = F.filter(F.split(before, "[、，和与]+"), lambda x: F.trim(x) != "")
+    each = F.transform(subjects, lambda x: F.concat(F.trim(x), F.trim(after)))
+    several = F.contains(text, F.lit("分别")) & (F.size(parts) == 1) & (F.size(subjects) > 1)
+    return F.slice(F.when(several, each).when(F.size(parts) == 0, F.array(F.trim(text))).otherwise(parts), 1, most)
+
+
+def intent(question: Column) -> Column:
+    """(relation, mode, confidence) of a question by its words [choice of words]."""
+    relation = F.when(question.rlike("(?i)difference|关系|区别|zusammen|relación|relate"), "comparison").when(question.rlike("(?i)^(can|may|darf|kann|puede|¿puede)|可以|能否"), "permission").when(question.rlike("(?i)who|which team|谁|wer |quién"), "owner").otherwise("procedure")
+    section = question.rlike("§|章|Kapitel|section|sección")
+    mode = F.when(section & (relation == "owner"), "graph_only").when(section, "graph_then_evidence").when(relation == "comparison", "graph_assist").otherwise("retrieval")
+    return F.struct(relation.alias("relation"), mode.alias("mode"), F.when(relation == "procedure", 0.5).otherwise(0.8).alias("confidence"))
+
+
+#: Separators from the strongest to the weakest; the last cuts anywhere.
+SEPARATORS = (r"\n\s*\n", r"\n", r"(?<=[.!?。！？])\s*", r"(?<=[,;:，；：、])\s*|\s+", None)
+
+
+def cut_at_separators(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, str]]:
+    """(begin, chunk) of at most size characters. A text that is too long is cut at its strongest separators; parts that
+    are still too long at the next weaker ones; neighbours are joined again while they fit. A chunk begins with up to
+    `overlap` characters of whole parts of the chunk before it. Together the chunks cover the text."""
+    parts: list[tuple[int, int]] = []
+    todo = [(0, len(text), 0)]
+    while todo:
+        low, high, level = todo.pop()
+        if high - low <= size - overlap or SEPARATORS[level] is None:
+            step = size - overlap
+            parts += [(i, min(i + step, high)) for i in range(low, high, step)]
+            continue
+        at = [low, *(m.end() for m in re.compile(SEPARATORS[level]).finditer(text, low, high) if low < m.end() < high), high]
+        todo += [(a, b, level + 1) for a, b in reversed(list(zip(at, at[1:]))) if b > a]
+    out, first = [], 0
+    while first < len(parts):
+        last = first
+        begin = parts[first][0]
+        if out:
+            back = first
+            while back and parts[first][0] - parts[back - 1][0] <= overlap:
+                back -= 1
+            begin = parts[back][0]
+        while last + 1 < len(parts) and parts[last + 1][1] - begin <= size:
+            last += 1
+        out.append((begin, text[begin : parts[last][1]]))
+        first = last + 1
+    return out
+
+
+def separator_chunks(df: DataFrame, key: str, text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """(key, chunk_no, begin, chunk_text): recursive chunks of every text that isn't empty, see cut_at_separators."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, n, begin, chunk) for i, t in enumerate(batch.column(1).to_pylist()) for n, (begin, chunk) in enumerate(cut_at_separators(t, size, overlap))]
+            row, no, begin, chunk = zip(*found) if found else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(begin, pa.int32()), pa.array(chunk, pa.string())], names=[key, "chunk_no", "begin", "chunk_text"])
+
+    return df.where(F.length(text) > 0).select(key, text).mapInArrow(run, f"`{key}` {kind}, chunk_no int, begin int, chunk_text string")

@@ -35,14 +35,14 @@ def siblings(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.withColumn("previous_no", F.lag("node_no").over(w)).withColumn("next_no", F.lead("node_no").over(w))
 
 
-def paths(nodes: DataFrame, key: str, deepest: int = 8) -> DataFrame:
+def paths(nodes: DataFrame, key: str) -> DataFrame:
     """(key, node_no, path): titles from the root down, by joins of one level after the other; as many rounds as the
     tree is deep, whatever its size."""
     ensure_checkpoint_dir(nodes.sparkSession)
     nodes = nodes.checkpoint()
     level = nodes.where("parent_no is null").select(key, "node_no", F.col("title").alias("path"))
     done, children = level, nodes.select(key, "node_no", "title", "parent_no")
-    for _ in range(deepest):
+    while True:
         level = children.join(level.withColumnRenamed("node_no", "parent_no"), [key, "parent_no"]).select(key, "node_no", F.concat_ws("/", "path", "title").alias("path")).checkpoint()
         if level.isEmpty():
             break
@@ -50,12 +50,13 @@ def paths(nodes: DataFrame, key: str, deepest: int = 8) -> DataFrame:
     return done
 
 
-def scope_paths(df: DataFrame, key: str, parent: str, name: str, deepest: int = 32) -> DataFrame:
-    """(key, root, depth, path) of a self-referring table, from its roots down. Rows on a cycle never appear."""
+def scope_paths(df: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """(key, root, depth, path) of a self-referring table, from its roots down, one level a
+    round, however deep it is. Rows on a cycle never appear."""
     ensure_checkpoint_dir(df.sparkSession)
     level = df.where(F.col(parent).isNull()).select(key, F.col(key).alias("root"), F.lit(0).alias("depth"), F.col(name).alias("path"))
     done = level
-    for _ in range(deepest):
+    while True:
         up = level.select(F.col(key).alias(parent), "root", "depth", "path")
         level = df.select(key, parent, name).join(up, parent).select(key, "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", name).alias("path")).checkpoint()
         if level.isEmpty():

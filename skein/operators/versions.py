@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,11 @@ def in_force(df: DataFrame, columns: list[str], key: str = "id", version: str =
     alive = F.lit(True) if status is None else F.coalesce(F.col(status), F.lit(1)) != 0
     df = df.where(F.col(key).isNotNull())
     try:
-        placed = df.select(*dict.fromkeys([*wanted, version, *extra]), F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except Exception:  # no file source
+        # files arrive by time, those of one write by their number
+        part = F.coalesce(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("int"), F.lit(0))
+        file = F.struct(F.unix_micros("_metadata.file_modification_time").alias("t"), part.alias("p"), F.xxhash64("_metadata.file_path").alias("h"))
+        placed = df.select(*dict.fromkeys([*wanted, version, *extra]), file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # no file source
         placed = None
     if placed is not None:
         narrow = placed.select(key, version, *extra, "__file", "__row").groupBy(key)
@@ -43,3 +47,14 @@ def in_force(df: DataFrame, columns: list[str], key: str = "id", version: str =
         order = [F.col(version).desc_nulls_last(), F.xxhash64(*df.columns).desc()]
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("__rank", rank).where("__rank = 1").where(alive).select(*wanted)
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with the rows of new in the place of those with the same key, or beside them: (key, origin, other columns).
+    origin is 'kept', 'replaced' or 'inserted'. Both have the same columns and each key once; null keys drop out. One
+    shuffle by key, combined map-side; on files it is written as a new version of the table."""
+    columns = [c for c in old.columns if c != key]
+    both = old.select(key, *columns, F.lit(0).alias("__new")).unionByName(new.select(key, *columns, F.lit(1).alias("__new"))).where(F.col(key).isNotNull())
+    by = both.groupBy(key).agg(F.max_by(F.struct(*columns), "__new").alias("__row"), F.min("__new").alias("__least"), F.max("__new").alias("__most"))
+    origin = F.when(F.col("__least") == 1, "inserted").when(F.col("__most") == 1, "replaced").otherwise("kept")
+    return by.select(key, origin.alias("origin"), "__row.*")

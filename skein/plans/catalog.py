@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import more, observability, relational, search  # noqa: F401
+from skein.plans import console, more, observability, relational, search  # noqa: F401
 from skein.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

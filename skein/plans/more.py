@@ -9,7 +9,6 @@ from skein.functions import text as T
 from skein.operators import extensions as X
 from skein.operators import structure as S
 from skein.plans.registry import live, live_sql, query
-from skein.plans.search import ASKED
 from skein.sources.tables import table
 
 DOCS, CHUNKS, EXCHANGES, STAGES, DIALOGUES = map(live_sql, ["agent_document", "document_chunk", "chat_exchange", "chat_exchange_trace_stage", "chat_dialogue"])
@@ -29,20 +28,23 @@ def nested_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompted(spark: SparkSession, d: str) -> DataFrame:
-    """All exchanges with a prompt; the SQL below takes one in 20."""
-    return live(spark, d, "chat_exchange", "user_prompt").where(F.length(F.trim("user_prompt")) > 0).select(F.col("id").alias("query_id"), "user_prompt")
+    """All exchanges with a prompt."""
+    return live(spark, d, "chat_exchange", "user_prompt").where(F.length(T.stripped(F.col("user_prompt"))) > 0).select(F.col("id").alias("query_id"), "user_prompt")
 
 
-@query(f"SELECT query_id, left(trim(user_prompt), 200) AS rewrite, contains(user_prompt, '?') AND length(user_prompt) - length(replace(user_prompt, '?', '')) > 1 AS should_split FROM {ASKED}")
+PROMPTED = f"(SELECT id AS query_id, user_prompt FROM {EXCHANGES} WHERE length(trim(user_prompt)) > 0)"
+
+
+@query(f"SELECT query_id, trim(user_prompt) AS rewrite, length(user_prompt) - length(replace(user_prompt, '?', '')) > 1 AS should_split FROM {PROMPTED}")
 def rewrite_contract(spark: SparkSession, d: str) -> DataFrame:
     """A model's rewrite as JSON, read back; here the answer is built from the prompt."""
     several = F.length("user_prompt") - F.length(F.replace("user_prompt", F.lit("?"), F.lit(""))) > 1
-    answer = F.to_json(F.struct(F.trim("user_prompt").alias("rewrite"), several.alias("should_split"), F.array(F.col("user_prompt")).alias("sub_questions")))
+    answer = F.to_json(F.struct(T.stripped(F.col("user_prompt")).alias("rewrite"), several.alias("should_split"), F.array(F.col("user_prompt")).alias("sub_questions")))
     parsed = F.from_json(answer, "rewrite string, should_split boolean, sub_questions array<string>")
     return prompted(spark, d).select("query_id", parsed.alias("p")).select("query_id", "p.rewrite", "p.should_split")
 
 
-@query(f"SELECT query_id, 'echo: ' || left(user_prompt, 80) AS reply FROM {ASKED}")
+@query(f"SELECT query_id, 'echo: ' || left(user_prompt, 80) AS reply FROM {PROMPTED}")
 def model_answers(spark: SparkSession, d: str) -> DataFrame:
     """Replies of a pluggable model; the stand-in echoes."""
     return prompted(spark, d).select("query_id", X.part("chat model", "echo")(F.col("user_prompt")).alias("reply"))
@@ -128,9 +130,12 @@ def worker_ids(spark: SparkSession, d: str) -> DataFrame:
     return r.select("call", F.when(F.col("call") < 32, F.col("call")).otherwise(0).alias("worker"), F.when(F.col("call") < 32, 0).otherwise(F.pmod(F.col("call") - 31, F.lit(32))).alias("centre"))
 
 
-@query(f"SELECT id, CASE WHEN duration_ms IS NULL OR duration_ms <= 0 THEN '-' WHEN duration_ms < 1000 THEN duration_ms || ' ms' WHEN duration_ms < 60000 THEN printf('%.1f s', duration_ms / 1000.0) ELSE printf('%.1f min', duration_ms / 60000.0) END AS shown FROM {STAGES} WHERE duration_ms IS NULL OR duration_ms % 100 <> 50")
+# a quotient that is exactly halfway between two digits goes up, as in the console; printf would take the even one
+@query(f"""SELECT id, CASE WHEN duration_ms IS NULL OR duration_ms <= 0 THEN '-' WHEN duration_ms < 1000 THEN duration_ms || ' ms'
+  WHEN duration_ms < 60000 THEN CASE WHEN duration_ms % 1000 = 250 THEN (duration_ms // 1000) || '.3 s' ELSE printf('%.1f s', duration_ms / 1000.0) END
+  ELSE CASE WHEN duration_ms % 60000 = 15000 THEN (duration_ms // 60000) || '.3 min' ELSE printf('%.1f min', duration_ms / 60000.0) END END AS shown FROM {STAGES}""")
 def shown_durations(spark: SparkSession, d: str) -> DataFrame:
-    """Durations as texts. The SQL leaves out those that end in 50 ms."""
+    """Durations as texts."""
     x = F.col("duration_ms")
     shown = F.when(x.isNull() | (x <= 0), "-").when(x < 1000, F.concat(x.cast("string"), F.lit(" ms"))).when(x < 60000, F.concat(T.tenths(x, 1000), F.lit(" s"))).otherwise(F.concat(T.tenths(x, 60000), F.lit(" min")))
     return live(spark, d, "chat_exchange_trace_stage", "duration_ms").select("id", shown.alias("shown"))

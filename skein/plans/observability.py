@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import aggregates as A
+from skein.operators import routes
 from skein.plans.registry import live, live_sql, query
 from skein.sources.tables import table
 
@@ -34,79 +35,121 @@ def session_page_stats(spark: SparkSession, d: str) -> DataFrame:
     return sessions.join(last, "code", "left").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("dialogue_stage") == 2).alias("running"), F.count_if(F.col("chat_mode") == 1).alias("document_mode"), F.count_if(F.col("exchange_state") == 3).alias("last_failed"))
 
 
-# route traces: a turn's candidates, the document its dialogue is locked to, and whether that is among the best three
+# route traces, built from the turns: an automatic record unless the session is locked to its document, and a shadow record
+# where it has selected one, which says whether that is among the best three. Every other turn's shadow record arrives first.
 
 
-def routes(spark: SparkSession, d: str) -> DataFrame:
-    found = T.json_list(F.col("source_snapshot_list"), CANDIDATES)
-    ranked = F.array_sort(found, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["documentId"] < b["documentId"], -1).otherwise(1))
-    turns = _turns(spark, d, "source_snapshot_list", "exchange_state", "create_time").withColumn("candidates", ranked)
-    own = live(spark, d, "chat_dialogue", "dialogue_code", "chat_mode", "selected_document_id").select(T.code_key(F.col("dialogue_code")).alias("code"), "chat_mode", F.col("selected_document_id").cast("string").alias("selected"))
-    ids = F.transform("candidates", lambda x: x["documentId"])
-    rows = turns.join(own, "code").select("id", "code", "create_time", "exchange_state", "selected", "candidates", F.when(F.col("chat_mode") == 1, "shadow").otherwise("auto").alias("mode"), F.coalesce(F.get("candidates", F.lit(0))["score"], F.lit(0.0)).alias("confidence"), F.size("candidates").alias("n"), ids.alias("ids"))
-    status = F.when(F.col("exchange_state") == 2, "SUCCESS").when(F.col("exchange_state") == 1, "RUNNING").otherwise("FAILED")
-    hit = F.when(F.col("selected").isNotNull() & (F.col("n") > 0), F.array_contains(F.slice("ids", 1, 3), F.col("selected")))
-    return rows.withColumn("route_status", status).withColumn("hit", hit).withColumn("top_document", F.get("ids", F.lit(0)))
+def route_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Records of routing: (exchange_id, code, arrival, create_time, mode, confidence, route_status, selected_document_id,
+    hit_selected_document, top_documents_json, top_scopes_json, top_topics_json)."""
+    turns = _turns(spark, d, "source_snapshot_list", "exchange_state", "create_time", "edit_time").withColumn("c", T.json_list(F.col("source_snapshot_list"), CANDIDATES))
+    ranked = F.array_sort("c", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["documentId"] < b["documentId"], -1).otherwise(1))
+    docs = live(spark, d, "agent_document", "knowledge_scope_code", "business_category").select(F.col("id").cast("string").alias("doc"), T.filled(T.code_key(F.col("knowledge_scope_code"))).alias("scope"), T.filled(F.trim("business_category")).alias("topic"))
+    about = turns.select("id", F.explode("c.documentId").alias("doc")).join(docs, "doc").groupBy("id").agg(F.to_json(F.collect_set("scope")).alias("top_scopes_json"), F.to_json(F.collect_set("topic")).alias("top_topics_json"))
+    own = live(spark, d, "chat_dialogue", "dialogue_code", "chat_mode", "selected_document_id").select(T.code_key(F.col("dialogue_code")).alias("code"), "chat_mode", F.col("selected_document_id").cast("string").alias("selected_document_id"))
+    rows = turns.withColumn("c", ranked).join(own, "code").join(about, "id", "left")
+    confidence = F.get("c", F.lit(0))["score"]
+    status = F.when(F.col("exchange_state") == 2, F.when(confidence >= 0.55, "1").otherwise("LOW_CONFIDENCE")).when(F.col("exchange_state") == 3, "3").otherwise(F.lit("stopped"))
+    hit = F.when(F.size("c") > 0, F.array_contains(F.slice("c.documentId", 1, 3), F.col("selected_document_id")).cast("int").cast("string"))
+    rows = rows.select(F.col("id").alias("exchange_id"), "code", "create_time", "edit_time", confidence.cast("string").alias("confidence"), status.cast("string").alias("route_status"), "selected_document_id", hit.alias("hit"), F.to_json("c").alias("top_documents_json"), "top_scopes_json", "top_topics_json", "chat_mode")
+    early = F.when(F.pmod("exchange_id", F.lit(2)) == 0, 0).otherwise(2)
+    auto = rows.where("coalesce(chat_mode, 0) <> 1").select("exchange_id", "code", F.lit(1).alias("arrival"), "create_time", F.lit("auto").alias("mode"), "confidence", "route_status", "selected_document_id", F.lit(None).cast("string").alias("hit_selected_document"), "top_documents_json", "top_scopes_json", "top_topics_json")
+    shadow = rows.where("selected_document_id is not null").select("exchange_id", "code", early.alias("arrival"), F.col("edit_time").alias("create_time"), F.lit("shadow").alias("mode"), "confidence", "route_status", "selected_document_id", F.col("hit").alias("hit_selected_document"), "top_documents_json", "top_scopes_json", "top_topics_json")
+    return auto.unionByName(shadow)
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    return routes.route_records(route_traces(spark, d))
 
 
 ROUTES = f"""
 WITH parsed AS (
-  SELECT id, lower(trim(dialogue_code)) AS code, create_time, exchange_state, CASE WHEN json_valid(source_snapshot_list) AND json_type(source_snapshot_list) = 'ARRAY' THEN source_snapshot_list::JSON ELSE '[]'::JSON END AS j FROM {EXCHANGES}),
+  SELECT id, lower(trim(dialogue_code)) AS code, create_time, edit_time, exchange_state, CASE WHEN json_valid(source_snapshot_list) AND json_type(source_snapshot_list) = 'ARRAY' THEN source_snapshot_list::JSON ELSE '[]'::JSON END AS j FROM {EXCHANGES}),
 each AS (SELECT id, json_extract_string(x, '$.documentId') AS doc, json_extract_string(x, '$.score')::DOUBLE AS score FROM (SELECT id, unnest(json_extract(j, '$[*]')) AS x FROM parsed)),
+docs AS (SELECT id::VARCHAR AS doc, nullif(lower(trim(knowledge_scope_code)), '') AS scope, nullif(trim(business_category), '') AS topic FROM {DOCS}),
 best AS (SELECT id, list(doc ORDER BY score DESC, doc) AS ids, max(score) AS top, count(*) AS n FROM each GROUP BY id),
+about AS (SELECT id, count(DISTINCT scope) AS scopes, count(DISTINCT topic) AS topics FROM each JOIN docs USING (doc) GROUP BY id),
 dlg AS (SELECT lower(trim(dialogue_code)) AS code, chat_mode, selected_document_id::VARCHAR AS selected FROM {DIALOGUES}),
+t AS (
+  SELECT p.id AS exchange_id, p.code, create_time, edit_time, chat_mode, selected, top AS confidence, coalesce(n, 0) AS n, coalesce(scopes, 0) AS scopes, coalesce(topics, 0) AS topics, ids, ids[1] AS top_document,
+    CASE WHEN exchange_state = 2 AND top >= 0.55 THEN 'SUCCESS' WHEN exchange_state = 2 THEN 'LOW_CONFIDENCE' ELSE 'FAILED' END AS route_status,
+    CASE WHEN coalesce(n, 0) > 0 THEN list_contains(ids[1:3], selected) END AS hit
+  FROM parsed p JOIN dlg USING (code) LEFT JOIN best USING (id) LEFT JOIN about USING (id)),
 r AS (
-  SELECT p.id, p.code, p.create_time, selected, CASE WHEN chat_mode = 1 THEN 'shadow' ELSE 'auto' END AS mode, coalesce(top, 0.0) AS confidence, coalesce(n, 0) AS n, ids, ids[1] AS top_document,
-    CASE WHEN exchange_state = 2 THEN 'SUCCESS' WHEN exchange_state = 1 THEN 'RUNNING' ELSE 'FAILED' END AS route_status,
-    CASE WHEN selected IS NOT NULL AND coalesce(n, 0) > 0 THEN list_contains(ids[1:3], selected) END AS hit
-  FROM parsed p JOIN dlg USING (code) LEFT JOIN best USING (id))
+  SELECT *, 'auto' AS mode, create_time AS at_, NULL::BOOLEAN AS hit_, 1 AS arrival FROM t WHERE coalesce(chat_mode, 0) <> 1
+  UNION ALL SELECT *, 'shadow', edit_time, hit, CASE WHEN exchange_id % 2 = 0 THEN 0 ELSE 2 END FROM t WHERE selected IS NOT NULL)
 """
 
 
 @query(ROUTES + """
-SELECT count(*) AS total, count_if(mode = 'shadow') AS shadow, count_if(mode = 'auto') AS auto, count_if(route_status = 'SUCCESS') AS success, count_if(route_status = 'FAILED') AS failed,
-  count_if(confidence >= 0.8) AS high, count_if(mode = 'auto' AND confidence < 0.8 AND n >= 2) AS widened, round(avg(confidence), 6) AS avg_confidence, round(avg(n), 6) AS avg_candidates,
-  count(DISTINCT top_document) AS top_documents, round(100.0 * count_if(route_status = 'SUCCESS') / nullif(count(*), 0), 6) AS success_rate, round(100.0 * count_if(confidence < 0.55) / nullif(count(*), 0), 6) AS low_rate,
-  round(100.0 * count_if(mode = 'shadow' AND hit) / nullif(count_if(mode = 'shadow' AND hit IS NOT NULL), 0), 6) AS shadow_hit_rate FROM r""")
+SELECT count(*) AS total, count_if(mode = 'shadow') AS shadow, count_if(mode = 'auto') AS auto, count_if(route_status = 'SUCCESS') AS success, count_if(route_status = 'LOW_CONFIDENCE') AS low_confidence, count_if(route_status = 'FAILED') AS failed,
+  count_if(confidence >= 0.8) AS high, count_if(mode = 'auto' AND confidence < 0.8 AND n >= 5) AS widened, round(avg(confidence), 6) AS avg_confidence, round(avg(n), 6) AS avg_documents, round(avg(topics), 6) AS avg_topics, round(avg(scopes), 6) AS avg_scopes,
+  count(DISTINCT top_document) AS top_documents, round(100.0 * count_if(route_status = 'SUCCESS') / nullif(count(*), 0), 6) AS success_rate, round(100.0 * (count_if(route_status = 'LOW_CONFIDENCE') + count_if(route_status = 'FAILED')) / nullif(count(*), 0), 6) AS low_rate,
+  round(100.0 * count_if(mode = 'shadow' AND hit_) / nullif(count_if(mode = 'shadow' AND hit_ IS NOT NULL), 0), 6) AS shadow_hit_rate FROM r""")
 def route_trace_summary(spark: SparkSession, d: str) -> DataFrame:
-    r = routes(spark, d)
-    mode, status, conf = F.col("mode"), F.col("route_status"), F.col("confidence")
-    rate = lambda part, whole: F.round(F.try_divide(F.lit(100.0) * F.count_if(part), whole), 6)
-    return r.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(mode == "shadow").alias("shadow"), F.count_if(mode == "auto").alias("auto"), F.count_if(status == "SUCCESS").alias("success"), F.count_if(status == "FAILED").alias("failed"),
-        F.count_if(conf >= 0.8).alias("high"), F.count_if((mode == "auto") & (conf < 0.8) & (F.col("n") >= 2)).alias("widened"), F.round(F.avg(conf), 6).alias("avg_confidence"), F.round(F.avg("n"), 6).alias("avg_candidates"),
-        F.count_distinct("top_document").alias("top_documents"), rate(status == "SUCCESS", F.count(F.lit(1))).alias("success_rate"), rate(conf < 0.55, F.count(F.lit(1))).alias("low_rate"),
-        rate((mode == "shadow") & F.col("hit"), F.count_if((mode == "shadow") & F.col("hit").isNotNull())).alias("shadow_hit_rate"),
-    )
+    return routes.route_summary(records(spark, d))
 
 
 @query(ROUTES + "SELECT top_document, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, count_if(route_status <> 'SUCCESS') AS not_success FROM r WHERE top_document IS NOT NULL GROUP BY 1 ORDER BY n DESC, top_document LIMIT 6")
 def top_document_distribution(spark: SparkSession, d: str) -> DataFrame:
-    by = routes(spark, d).where("top_document is not null").groupBy("top_document").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.count_if(F.col("route_status") != "SUCCESS").alias("not_success"))
+    by = records(spark, d).where("top_document is not null").groupBy("top_document").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.count_if(F.col("route_status") != "SUCCESS").alias("not_success"))
     return by.orderBy(F.desc("n"), "top_document").limit(6)
 
 
-@query(ROUTES + "SELECT CASE WHEN confidence <= 0 THEN 'none' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.55 THEN 'usable' ELSE 'widen' END AS band, count(*) AS n, round(avg(round(confidence * 100)), 6) AS avg_percent FROM r GROUP BY 1")
+@query(ROUTES + "SELECT CASE WHEN confidence IS NULL OR confidence <= 0 THEN 'none' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.55 THEN 'usable' ELSE 'widen' END AS band, count(*) AS n, round(avg(round(confidence * 100)), 6) AS avg_percent FROM r GROUP BY 1")
 def confidence_bands(spark: SparkSession, d: str) -> DataFrame:
-    return routes(spark, d).groupBy(T.confidence_band(F.col("confidence")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.round(F.col("confidence") * 100)), 6).alias("avg_percent"))
+    return records(spark, d).groupBy(T.confidence_band(F.col("confidence")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.round(F.col("confidence") * 100)), 6).alias("avg_percent"))
 
 
-@query(ROUTES + "SELECT mode, coalesce(hit::INT::VARCHAR, 'unknown') AS hit, count(*) AS n, round(avg(n), 6) AS candidates, round(avg(CASE WHEN confidence >= 0.8 THEN least(n, 3) ELSE least(n, 5) END), 6) AS kept FROM r GROUP BY 1, 2")
+@query(ROUTES + "SELECT mode, CASE WHEN hit_ THEN 'hit' WHEN NOT hit_ THEN 'missed' ELSE 'unknown' END AS hit, count(*) AS n, round(avg(n), 6) AS candidates, round(avg(CASE WHEN confidence >= 0.8 THEN least(n, 3) ELSE least(n, 5) END), 6) AS kept FROM r GROUP BY 1, 2")
 def shadow_hits(spark: SparkSession, d: str) -> DataFrame:
-    kept = F.when(F.col("confidence") >= 0.8, F.least("n", F.lit(3))).otherwise(F.least("n", F.lit(5)))
-    return routes(spark, d).groupBy("mode", F.coalesce(F.col("hit").cast("int").cast("string"), F.lit("unknown")).alias("hit")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n"), 6).alias("candidates"), F.round(F.avg(kept), 6).alias("kept"))
+    n = F.col("document_count")
+    kept = F.when(F.col("confidence") >= routes.HIGH, F.least(n, F.lit(3))).otherwise(F.least(n, F.lit(5)))
+    hit = F.when(F.col("hit"), "hit").when(F.col("missed"), "missed").otherwise("unknown")
+    return records(spark, d).groupBy("mode", hit.alias("hit")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("candidates"), F.round(F.avg(kept), 6).alias("kept"))
 
 
-@query(ROUTES + "SELECT id, selected, list_position(ids, selected)::INT AS place FROM r WHERE selected IS NOT NULL AND list_contains(ids, selected)")
+@query(ROUTES + """, s AS (SELECT code, arg_min(top_document, (-confidence, top_document)) AS selected FROM t WHERE top_document IS NOT NULL GROUP BY code)
+SELECT exchange_id, s.selected, list_position(ids, s.selected)::INT AS place FROM t JOIN s USING (code) WHERE list_contains(ids, s.selected)""")
 def selected_candidate(spark: SparkSession, d: str) -> DataFrame:
-    return routes(spark, d).where(F.array_contains("ids", F.col("selected"))).select("id", "selected", F.array_position("ids", F.col("selected")).cast("int").alias("place"))
+    """Where the document that a session's surest turn found first stands among the candidates of its turns."""
+    all_ = route_traces(spark, d).drop("selected_document_id").dropDuplicates(["exchange_id"])
+    # a session may have neither kind of record: then it has no candidates here
+    top = routes.route_records(all_.withColumn("selected_document_id", F.lit(None).cast("string")))
+    best = top.where("top_document is not null").groupBy("code").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "top_document"))["top_document"].alias("selected_document_id"))
+    found = routes.route_records(all_.join(best, "code"))
+    return found.where("selected_place is not null").select("exchange_id", "selected", F.col("selected_place").alias("place"))
+
+
+KEPT = ", k AS (SELECT *, row_number() OVER (PARTITION BY exchange_id ORDER BY CASE WHEN autos = 0 THEN 0 WHEN exchange_id % 2 = 0 OR coalesce(epoch_us(edit_time), 0) < coalesce(epoch_us(create_time), 0) THEN (mode = 'shadow')::INT ELSE (mode = 'auto')::INT END) AS turn FROM (SELECT *, count_if(mode = 'auto') OVER (PARTITION BY exchange_id) AS autos FROM r))"
+
+
+@query(ROUTES + KEPT + " SELECT exchange_id, mode, route_status, round(confidence, 6) AS confidence, n::INT AS documents FROM k WHERE turn = 1")
+def route_of_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """The record that counts for each turn: an automatic one drives out a shadow one, else the later one holds."""
+    own = records(spark, d).select("exchange_id", "arrival", "create_time", "mode", "route_status", "confidence", "document_count")
+    return routes.record_of_exchange(own, "exchange_id", "arrival", "create_time").select("exchange_id", "mode", "route_status", F.round("confidence", 6).alias("confidence"), F.col("document_count").alias("documents"))
 
 
-@query(ROUTES + ", k AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY create_time DESC NULLS LAST, id DESC) AS place FROM r) SELECT dialogue_code, k.id AS exchange_id, mode, route_status, round(confidence, 6) AS confidence FROM " + DIALOGUES + " LEFT JOIN k ON k.code = lower(trim(dialogue_code)) AND place = 1")
+@query(ROUTES + KEPT + ", l AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY at_ DESC NULLS LAST, exchange_id DESC) AS place FROM k WHERE turn = 1) SELECT dialogue_code, l.exchange_id, mode, route_status, round(confidence, 6) AS confidence FROM " + DIALOGUES + " LEFT JOIN l ON l.code = lower(trim(dialogue_code)) AND place = 1")
 def latest_route_per_dialogue(spark: SparkSession, d: str) -> DataFrame:
-    last = A.latest(routes(spark, d), ["code"], [F.desc_nulls_last("create_time"), F.desc("id")]).select("code", F.col("id").alias("exchange_id"), "mode", "route_status", F.round("confidence", 6).alias("confidence"))
-    own = live(spark, d, "chat_dialogue", "dialogue_code").select("dialogue_code", T.code_key(F.col("dialogue_code")).alias("code"))
-    return own.join(last, "code", "left").drop("code")
+    own = records(spark, d).select("exchange_id", "code", "arrival", "create_time", "mode", "route_status", "confidence")
+    counted = routes.record_of_exchange(own, "exchange_id", "arrival", "create_time")
+    last = A.latest(counted, ["code"], [F.desc_nulls_last("create_time"), F.desc("exchange_id")]).select("code", "exchange_id", "mode", "route_status", F.round("confidence", 6).alias("confidence"))
+    sessions = live(spark, d, "chat_dialogue", "dialogue_code").select("dialogue_code", T.code_key(F.col("dialogue_code")).alias("code"))
+    return sessions.join(last, "code", "left").drop("code")
+
+
+@query(ROUTES + """SELECT exchange_id, mode, CASE WHEN mode = 'auto' THEN CASE WHEN n > 0 THEN 'scopes first, then ' || n || ' documents; the first is ' || top_document ELSE 'scopes first; no document stands out' END
+  ELSE CASE WHEN n > 0 THEN 'compared only; its first is ' || top_document ELSE 'compared only; no candidate' END END
+  || CASE WHEN mode = 'auto' AND confidence < 0.8 AND n >= 5 THEN '; unsure, so widened' ELSE '' END || CASE WHEN mode = 'auto' AND n = 0 THEN '; falls back to all documents' ELSE '' END
+  || CASE WHEN mode = 'shadow' AND hit_ THEN '; the selected document is in the first three' WHEN mode = 'shadow' AND NOT hit_ THEN '; the selected document is not in the first three' ELSE '' END AS explained FROM r""")
+def route_explained(spark: SparkSession, d: str) -> DataFrame:
+    """What a record says, in words."""
+    auto, some = F.col("mode") == "auto", F.col("document_count") > 0
+    head = F.when(auto & some, F.concat(F.lit("scopes first, then "), F.col("document_count").cast("string"), F.lit(" documents; the first is "), F.col("top_document"))).when(auto, "scopes first; no document stands out").when(some, F.concat(F.lit("compared only; its first is "), F.col("top_document"))).otherwise("compared only; no candidate")
+    notes = [F.when(F.col("widened"), "; unsure, so widened"), F.when(auto & ~some, "; falls back to all documents"), F.when(~auto & F.col("hit"), "; the selected document is in the first three").when(~auto & F.col("missed"), "; the selected document is not in the first three")]
+    return records(spark, d).select("exchange_id", "mode", F.concat(head, *[F.coalesce(x, F.lit("")) for x in notes]).alias("explained"))
 
 
 @query(f"""

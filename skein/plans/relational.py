@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,9 @@ from skein.functions import dates as D
 from skein.functions import ids as I
 from skein.functions import text as T
 from skein.operators import joins as J
+from skein.operators.versions import in_force, upsert
 from skein.plans.registry import live, live_sql, query
+from skein.session import work_folder
 from skein.sources import frames
 from skein.sources.tables import event_time, table
 from skein.streaming import folds
@@ -104,13 +104,16 @@ def split_last(spark: SparkSession, d: str) -> DataFrame:
     return live(spark, d, "document_chunk", "section_path").select("id", head.alias("head"), F.when(F.col("section_path").isNull(), "").otherwise(tail).alias("tail"))
 
 
-@query("SELECT o_orderkey, o_custkey::VARCHAR AS subject, 2000000000 + o_orderkey AS expires FROM orders")
+@query("SELECT o_orderkey, o_custkey::VARCHAR AS subject, CASE WHEN o_orderkey % 7 <> 0 THEN 2000000000 + o_orderkey END AS expires, o_orderkey % 7 = 0 OR 2000005000 >= 2000000000 + o_orderkey AS expired FROM orders")
 def jwt_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Claims read from tokens that are built here from orders."""
-    claims = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("sub"), (F.lit(2000000000) + F.col("o_orderkey")).alias("exp")))
+    """Claims read from tokens that are built here from orders, and whether a token has expired at a given time; one
+    without an end has."""
+    end = F.when(F.pmod("o_orderkey", F.lit(7)) != 0, F.lit(2000000000) + F.col("o_orderkey"))
+    claims = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("sub"), end.alias("exp")))
     url = F.regexp_replace(F.translate(F.base64(F.encode(claims, "UTF-8")), "+/", "-_"), "[=\r\n]", "")
     payload = T.jwt_payload(F.concat(F.lit("e30."), url, F.lit(".c2ln")))
-    return orders(spark, d).select("o_orderkey", F.get_json_object(payload, "$.sub").alias("subject"), F.get_json_object(payload, "$.exp").cast("bigint").alias("expires"))
+    expires = F.get_json_object(payload, "$.exp").cast("bigint")
+    return orders(spark, d).select("o_orderkey", F.get_json_object(payload, "$.sub").alias("subject"), expires.alias("expires"), F.coalesce(F.lit(2000005000) >= expires, F.lit(True)).alias("expired"))
 
 
 @query("SELECT event_id, (props::JSON ->> '$.k')::INT AS k, CASE WHEN value IS NULL THEN 0.0 ELSE value END AS number FROM events")
@@ -158,12 +161,17 @@ def key_sets(spark: SparkSession, d: str) -> DataFrame:
     return keys("F").intersect(keys("O")).subtract(table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey"))
 
 
-@query("SELECT id, CASE WHEN r = 1 THEN 'new' ELSE 'kept' END AS origin, status FROM (SELECT id, status, row_number() OVER (PARTITION BY id ORDER BY edit_time DESC NULLS LAST) AS r FROM agent_document) WHERE r = 1")
+@query("""
+WITH c AS (SELECT (min(epoch_us(edit_time)) + max(epoch_us(edit_time))) // 2 AS cut FROM agent_document),
+x AS (SELECT id, status, edit_time, epoch_us(edit_time) >= cut AS fresh FROM agent_document, c WHERE edit_time IS NOT NULL)
+SELECT id, CASE WHEN bool_and(fresh) THEN 'inserted' WHEN bool_or(fresh) THEN 'replaced' ELSE 'kept' END AS origin, arg_max(status, (fresh::INT, edit_time)) AS status FROM x GROUP BY id""")
 def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Each id with its latest row: an upsert of all deliveries in order."""
-    from skein.operators.versions import in_force
-
-    return in_force(table(spark, d, "agent_document"), ["status"], status=None).select("id", F.lit("new").alias("origin"), "status")
+    """The later half of the deliveries upserted into the table that the earlier half makes."""
+    rows = table(spark, d, "agent_document").where("edit_time is not null").select("id", "status", "edit_time").withColumn("at", F.unix_micros(F.col("edit_time").cast("timestamp")))
+    cut = rows.agg(F.floor((F.min("at") + F.max("at")) / 2).alias("cut"))
+    marked = rows.crossJoin(F.broadcast(cut))  # one row
+    half = lambda late: in_force(marked.where((F.col("at") >= F.col("cut")) == F.lit(late)).select("id", "status", "edit_time"), ["status"], status=None)
+    return upsert(half(False), half(True), "id")
 
 
 @query(f"SELECT id, len(list_distinct(t)) AS tags, list_contains(t, 'policy') AS has_policy, len(list_filter(t, lambda x: NOT list_contains(['policy', '流程'], x))) = 0 AS only_known FROM (SELECT id, list_filter(list_transform(string_split(coalesce(document_tags, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS t FROM {DOCS})")
@@ -270,24 +278,14 @@ def sse_fold_batch(spark: SparkSession, d: str) -> DataFrame:
     return folds.fold_batch(events_of(raw_streams(spark, d)))
 
 
-def _work(spark: SparkSession) -> str:
-    """A new folder where all executors can read and write: beside the checkpoints, or a temporary one in tests."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/work-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="skein-work-")
-
-
 @query(FOLD_SQL)
 def sse_fold_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same fold as a stream with state per key; the last update of a key holds."""
-    work = _work(spark)
+    work = work_folder(spark)
     events_of(raw_streams(spark, d)).write.parquet(f"{work}/events")
     stream = spark.readStream.schema("key bigint, n bigint, type string, content string").parquet(f"{work}/events")
-    folds.run_updates(folds.fold_stream(stream), f"{work}/checkpoint", f"{work}/out", "key")
-    out = spark.read.parquet(f"{work}/out")
-    w = Window.partitionBy("key").orderBy(F.desc("epoch"))
-    return out.withColumn("r", F.row_number().over(w)).where("r = 1").select("key", "text", "thinking", "status", "n")
+    out = folds.run_updates(folds.fold_stream(stream), f"{work}/checkpoint", f"{work}/out", ["key"])
+    return out.select("key", "text", "thinking", "status", "n")
 
 
 @query("SELECT 'reply-' || (event_id % 50) AS key, string_agg(event_type, '' ORDER BY event_id) AS content, 'stop' AS finish_reason FROM events GROUP BY event_id % 50")
@@ -310,13 +308,19 @@ def hourly_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(HOURS)
 def hourly_windows_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same windows over a stream; the input comes in one batch, so nothing is late."""
-    work = _work(spark)
-    schema = table(spark, d, "events").schema
-    table(spark, d, "events").write.parquet(f"{work}/events")
-    stream = folds.tumbling(spark.readStream.schema(schema).parquet(f"{work}/events"), "ts", "event_type", "value")
-    folds.run_updates(stream, f"{work}/checkpoint", f"{work}/out", "window_start")
-    return spark.read.parquet(f"{work}/out").select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
+    """The same windows over a stream of several micro-batches in the order of time, so nothing is late; a window that
+    goes on in a later batch comes out again, and the last update holds."""
+    work = work_folder(spark)
+    events = table(spark, d, "events")
+    third = [r[0] for r in events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.33, 0.66])).collect()][0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *third], [*third, None]):
+        part = events.where((at >= low) if low is not None else F.lit(True)).where((at < high) if high is not None else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(f"{work}/events")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/events")
+    stream = folds.tumbling(source, "ts", "event_type", "value")
+    out = folds.run_updates(stream, f"{work}/checkpoint", f"{work}/out", ["window_start", "event_type"])
+    return out.select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @query("""
@@ -341,7 +345,7 @@ def ingest_stream(spark: SparkSession, d: str) -> DataFrame:
     from skein.operators.retrieval import window_chunks
 
     docs = table(spark, d, "documents").select("doc_id", "text")
-    work = _work(spark)
+    work = work_folder(spark)
     docs.write.parquet(f"{work}/queue")
     out = folds.ingest(spark, f"{work}/queue", docs.schema, work, lambda x: x.where(F.length("text") > 0), lambda x: window_chunks(x, "doc_id", "text"))
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"))

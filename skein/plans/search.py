@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from skein.functions import text as T
 from skein.operators import retrieval as R
 from skein.operators import structure as S
 from skein.plans.registry import live, live_sql, query
-from skein.session import ensure_checkpoint_dir
+from skein.session import work_folder
 from skein.sources.tables import table
 
 DOCS, CHUNKS, VECTORS, EXCHANGES, DIALOGUES, SCOPES = map(live_sql, ["agent_document", "document_chunk", "document_embedding", "chat_exchange", "chat_dialogue", "knowledge_scope_node"])
@@ -25,7 +23,7 @@ ASKED = f"(SELECT id AS query_id, user_prompt FROM {EXCHANGES} WHERE id % 20 = 0
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    return live(spark, d, "chat_exchange", "user_prompt").where((F.col("id") % 20 == 0) & (F.length(F.trim("user_prompt")) > 1)).select(F.col("id").alias("query_id"), "user_prompt")
+    return live(spark, d, "chat_exchange", "user_prompt").where((F.col("id") % 20 == 0) & (F.length(T.stripped(F.col("user_prompt"))) > 1)).select(F.col("id").alias("query_id"), "user_prompt")
 
 
 def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -107,8 +105,7 @@ def keyword_gate(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {POSTINGS}, q AS (SELECT DISTINCT unnest({TOKENS.format('user_prompt')}) AS term FROM {ASKED}) SELECT term, count(*) AS texts, sum(tf)::BIGINT AS places FROM p JOIN q USING (term) GROUP BY term")
 def stored_index(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index written as a table and read back, then joined to the terms that are asked for."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/postings-{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/postings"
     R.store_index(index(spark, d), path)
     terms = asked(spark, d).select(F.explode(R.tokens(F.col("user_prompt"))).alias("term")).distinct()
     return R.load_index(spark, path).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum("tf").alias("places"))
@@ -121,7 +118,7 @@ SCOPED = f"(SELECT e.id AS query_id, e.user_prompt, s.selected_document_id FROM
 def document_scoped_topk(spark: SparkSession, d: str) -> DataFrame:
     """The keyword channel within the document that the session has selected."""
     own = live(spark, d, "chat_dialogue", "dialogue_code", "selected_document_id").where("selected_document_id is not null").select(T.code_key(F.col("dialogue_code")).alias("code"), "selected_document_id")
-    e = live(spark, d, "chat_exchange", "dialogue_code", "user_prompt").where((F.col("id") % 20 == 0) & (F.length(F.trim("user_prompt")) > 1))
+    e = live(spark, d, "chat_exchange", "dialogue_code", "user_prompt").where((F.col("id") % 20 == 0) & (F.length(T.stripped(F.col("user_prompt"))) > 1))
     q = e.withColumn("code", T.code_key(F.col("dialogue_code"))).join(own, "code").select(F.col("id").alias("query_id"), "user_prompt", "selected_document_id")
     return R.bm25_top(q, "query_id", "user_prompt", chunks(spark, d, "document_id"), "id", "chunk_text", R.CHANNEL_TOP, within=("selected_document_id", "document_id"))
 
@@ -240,10 +237,15 @@ def no_evidence_reply(spark: SparkSession, d: str) -> DataFrame:
 # questions
 
 
-@query()
+PARTS_SQL = "list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({0}, '(?m)^\\s*\\d+[.、)]\\s*', chr(10), 'g'), '([?？])', '\\1' || chr(10), 'g'), '[;；\\n]+'), lambda x: trim(x)), lambda x: length(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')) > 0)"
+SUBJECTS_SQL = "list_filter(regexp_split_to_array(string_split({0}, '分别')[1], '[、，和与]+'), lambda x: trim(x) <> '')"
+QUESTIONS_SQL = f"(CASE WHEN contains({{0}}, '分别') AND len({PARTS_SQL}) = 1 AND len({SUBJECTS_SQL}) > 1 THEN list_transform({SUBJECTS_SQL}, lambda x: trim(x) || trim(string_split({{0}}, '分别')[-1])) WHEN len({PARTS_SQL}) = 0 THEN [trim({{0}})] ELSE {PARTS_SQL} END)[1:4]"
+
+
+@query(f"SELECT id, (part - 1)::INT AS part, question FROM (SELECT id, unnest(q) AS question, generate_subscripts(q, 1) AS part FROM (SELECT id, {QUESTIONS_SQL.format('user_prompt')} AS q FROM {EXCHANGES} WHERE length(trim(user_prompt)) > 0))")
 def sub_questions(spark: SparkSession, d: str) -> DataFrame:
     """The explicit sub-questions of every prompt, at most four."""
-    e = live(spark, d, "chat_exchange", "user_prompt").where(F.length(F.trim("user_prompt")) > 0)
+    e = live(spark, d, "chat_exchange", "user_prompt").where(F.length(T.stripped(F.col("user_prompt"))) > 0)
     return e.select("id", F.posexplode(R.split_questions(F.col("user_prompt"))).alias("part", "question"))
 
 
@@ -338,12 +340,21 @@ def structure_counts(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("kind") == S.SECTION).alias("sections")).where("nodes > 1")
 
 
-@query()
+NODES_SQL = """WITH RECURSIVE line AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+marked AS (SELECT doc_id, n, length(regexp_extract(line, '^(#{1,6})\\s', 1)) AS level, CASE WHEN regexp_matches(line, '^#{1,6}\\s') THEN 2 WHEN regexp_matches(line, '^\\s*\\d+[.)]\\s+\\S') THEN 3 WHEN regexp_matches(line, '^\\s*[-*]\\s+\\S') THEN 4 END AS kind, trim(regexp_replace(line, '^\\s*(#{1,6}|\\d+[.)]|[-*])\\s+', '')) AS title FROM line),
+node AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS node_no, kind, level, title FROM (SELECT doc_id, n, kind, level, title FROM marked WHERE kind IS NOT NULL UNION ALL SELECT doc_id, -1, 1, 0, '' FROM documents)),
+head AS (SELECT doc_id, node_no, level FROM node WHERE kind <= 2),
+deep AS (SELECT n.*, CASE WHEN kind <= 2 THEN n.level ELSE (SELECT arg_max(h.level, h.node_no) FROM head h WHERE h.doc_id = n.doc_id AND h.node_no < n.node_no) + 1 END AS depth FROM node n),
+tree AS (SELECT d.doc_id, d.node_no, any_value(d.kind) AS kind, any_value(d.depth) AS depth, any_value(d.title) AS title, max(h.node_no) AS parent_no FROM deep d LEFT JOIN head h ON h.doc_id = d.doc_id AND h.node_no < d.node_no AND h.level < d.depth GROUP BY d.doc_id, d.node_no)"""
+
+
+@query(NODES_SQL + " SELECT doc_id, node_no::INT AS node_no, kind::INT AS kind, depth::INT AS depth, title, parent_no::INT AS parent_no, (lag(node_no) OVER w)::INT AS previous_no, (lead(node_no) OVER w)::INT AS next_no FROM tree WINDOW w AS (PARTITION BY doc_id, parent_no ORDER BY node_no)")
 def structure_nodes(spark: SparkSession, d: str) -> DataFrame:
     return S.siblings(S.structure_nodes(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query()
+@query(NODES_SQL + """, way AS (SELECT doc_id, node_no, title AS path FROM tree WHERE parent_no IS NULL UNION ALL SELECT t.doc_id, t.node_no, w.path || '/' || t.title FROM tree t JOIN way w ON t.doc_id = w.doc_id AND t.parent_no = w.node_no)
+SELECT doc_id, node_no::INT AS node_no, path FROM way""")
 def structure_paths(spark: SparkSession, d: str) -> DataFrame:
     return S.paths(S.structure_nodes(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,13 +25,30 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "skein") ->
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by spark.checkpoint.dir; only in local mode, as in tests, a temporary
+    one where the session names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context = spark.sparkContext
+    if not hasattr(context, "_skein_folder"):
+        context._skein_folder = tempfile.mkdtemp(prefix="skein-checkpoint-")
+    return context._skein_folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder of spark.checkpoint.dir; only where the session names none, as in tests, a temporary one."""
+    """Checkpoints go to the shared folder, unless the context already has one of its own."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder where all executors can read and write."""
+    return f"{shared_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:

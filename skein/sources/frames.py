@@ -19,7 +19,7 @@ def sse_events(df: DataFrame, key: str, raw: str, schema: str = EVENT) -> DataFr
     payload = F.when(F.size(data) > 0, joined).otherwise(lines)
     parts = blocks.select(key, "block_no", F.posexplode(payload).alias("part_no", "payload")).where("trim(payload) not in ('', '[DONE]')")
     events = parts.select(key, "block_no", "part_no", F.from_json("payload", schema).alias("event")).where("event is not null and event.type is not null")
-    return events.select(key, (F.col("block_no") * 1000 + F.col("part_no")).alias("event_no"), "event")
+    return events.select(key, (F.shiftleft(F.col("block_no").cast("bigint"), 32) + F.col("part_no")).alias("event_no"), "event")
 
 
 def model_stream(df: DataFrame, key: str, raw: str) -> DataFrame:

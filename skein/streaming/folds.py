@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,7 +29,7 @@ def fold_batch(events: DataFrame, key: str = "key") -> DataFrame:
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     text, thinking, status, final, n = state.get if state.exists else ("", "", "RUNNING", False, 0)
     rows = pd.concat(list(batches)).sort_values("n")
-    seen = thinking.split("\n") if thinking else []
+    seen = json.loads(thinking) if thinking else []
     for kind, content in zip(rows["type"], rows["content"]):
         content = content or ""
         n += 1
@@ -40,9 +41,8 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             status = content
         elif kind in ("error", "stop") and not final:
             status, final = ("FAILED" if kind == "error" else "STOPPED"), True
-    thinking = "\n".join(seen)
-    state.update((text, thinking, status, final, n))
-    yield pd.DataFrame({"key": [str(key[0])], "text": [text], "thinking": [thinking], "status": [status], "n": [n]})
+    state.update((text, json.dumps(seen), status, final, n))
+    yield pd.DataFrame({"key": [str(key[0])], "text": [text], "thinking": ["\n".join(seen)], "status": [status], "n": [n]})
 
 
 def fold_stream(events: DataFrame, key: str = "key") -> DataFrame:
@@ -68,13 +68,48 @@ def run_once(df: DataFrame, checkpoint: str, out: str, mode: str = "append") ->
     df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start(out).awaitTermination()
 
 
-def run_updates(df: DataFrame, checkpoint: str, out: str, key: str) -> None:
-    """Runs a stream of updates over all that is there; each micro-batch is one folder, the latest row of a key holds."""
+def run_updates(df: DataFrame, checkpoint: str, out: str, keys: list[str]) -> DataFrame:
+    """Runs a stream of updates over all that is there and gives the last update of each key. Each micro-batch is one
+    folder, so a batch that runs again replaces its own rows."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch:06d}")
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/batch={epoch:06d}")
 
     df.writeStream.option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    spark = df.sparkSession
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, epoch int").parquet(out)
+    w = Window.partitionBy(*keys).orderBy(F.desc("epoch"))
+    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "epoch", "batch")
+
+
+def run_callbacks(df: DataFrame, checkpoint: str, on_content: Callable[[DataFrame, int], None], on_complete: Callable[[], None] = lambda: None, on_error: Callable[[Exception], None] | None = None) -> None:
+    """Runs a stream over all that is there and hands every micro-batch to on_content, then calls on_complete; an error
+    goes to on_error if there is one, and else is raised. A batch may come again after a failure, with its number."""
+    try:
+        df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(on_content).start().awaitTermination()
+    except Exception as e:  # the stream's own failure
+        if on_error is None:
+            raise
+        on_error(e)
+        return
+    on_complete()
+
+
+def run_polling(df: DataFrame, checkpoint: str, on_content: Callable[[DataFrame, int], None], every: str = "3 seconds", most: int = 30):
+    """Runs a stream that looks for new rows at an interval and ends after `most` micro-batches; gives the query."""
+    seen = {"n": 0}
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        on_content(batch, epoch)
+        seen["n"] += 1
+
+    running = df.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(step).start()
+    while running.isActive and seen["n"] < most:
+        running.awaitTermination(1)
+        if seen["n"] and not running.status["isDataAvailable"] and not running.status["isTriggerActive"]:
+            break
+    running.stop()
+    return running
 
 
 def ingest(spark: SparkSession, source: str, schema, work: str, parse, index) -> DataFrame:
