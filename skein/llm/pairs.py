@@ -213,27 +213,65 @@ def sentence_ends(df: DataFrame, text: str, spoken: str, least: int = 2, share:
     return counts.join(F.broadcast(mean), "spoken").where((F.col("stops") >= least) & (F.col("stops") >= share * F.col("mean") * F.col("seen"))).select("spoken", "last")  # mean has a row per language
 
 
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over texts in order: the ids of those that a later whole text of this partition goes on from (HIT), those that a
+    text of a later partition may go on from (OPEN, with their text), and the first whole texts (HEAD): of all, and of
+    those that differ from the partition's first text. The texts that begin the current one are a stack."""
+    stack: list[list] = []  # text, its ids
+    part, first, heads = None, None, []
+
+    def rows(kind: int, items: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(items), pa.int32()), pa.array([part] * len(items), pa.int32()), pa.array([t for t, _ in items], pa.string()), pa.array([i for _, i in items], pa.list_(pa.int64()))], names=["kind", "part", "text", "ids"])
+
+    for batch in batches:
+        hits = []
+        for text, id_, whole, part in zip(*(c.to_pylist() for c in batch.columns)):
+            first = text if first is None else first
+            while stack and not text.startswith(stack[-1][0]):
+                stack.pop()
+            if stack and stack[-1][0] == text:
+                stack[-1][1].append(id_)
+            else:
+                stack.append([text, [id_]])
+            if whole:
+                hits += [[None, ids] for t, ids in stack[:-1] if ids]
+                stack = [[t, []] for t, _ in stack[:-1]] + stack[-1:]
+                if not heads or len(heads) == 1 and heads[0] == first and text != first:
+                    heads.append(text)
+        if hits:
+            yield rows(HIT, hits)
+    if part is not None:
+        yield rows(OPEN, [[t, ids] for t, ids in stack if ids])
+        yield rows(HEAD, [[t, [k]] for k, t in enumerate(heads)])
+
+
+HIT, OPEN, HEAD = range(3)
+
+
 def shortened(df: DataFrame, key: str, text: str, whole: str | None = None) -> DataFrame:
     """Keys of texts that are a proper beginning of another text, or of one that is `whole`. The texts are sorted once,
-    over as many tasks as there are partitions; a text that begins another one begins the next different text in the
-    order, and one that begins a whole text begins the next whole one. The first whole text of each partition is handed
-    to the ones before, so pairs across a border are seen too."""
+    equal ones by key too, over as many tasks as there are partitions, and each task passes over its own once. A text
+    that begins another one begins the next different text in the order, and one that begins a whole text begins the
+    next whole one, so of the other tasks only their first whole texts are needed."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = F.col(whole) if whole else F.lit(True)
-    sorted_ = df.select(F.col(key).alias("id"), F.col(text).alias("text"), kept.alias("whole")).where("text is not null").repartitionByRange(n, "text").sortWithinPartitions("text", "id").withColumn("part", F.spark_partition_id()).checkpoint()
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    heads = sorted_.groupBy("part").agg(F.min(F.when(F.col("whole"), F.col("text"))).alias("head"))
-    w = before(Window.orderBy(F.desc("part")))  # one row per partition
-    heads = heads.select("part", F.last("head", ignorenulls=True).over(w).alias("text")).where("text is not null")
-    joined = sorted_.select("part", "text", "whole").unionByName(heads.select("part", "text", F.lit(True).alias("whole")))
-    # a partition and the head of the next ones lie together again; equal texts count once
-    distinct = joined.groupBy("part", "text").agg(F.max("whole").alias("whole"))
-    w = before(Window.partitionBy("part").orderBy(F.desc("text")))
-    after = distinct.select("part", "text", F.last(F.when(F.col("whole"), F.col("text")), ignorenulls=True).over(w).alias("next"))
-    hit = after.where(F.col("next").startswith(F.col("text"))).select("part", "text")
-    return sorted_.join(hit, ["part", "text"], "left_semi").select("id")
+    rows = df.select(F.col(text).alias("text"), F.col(key).alias("id"), kept.alias("whole")).where("text is not null")
+    in_order = rows.repartitionByRange(n, "text", "id").sortWithinPartitions("text", "id").withColumn("part", F.spark_partition_id())
+    found = in_order.mapInArrow(_beginnings, "kind int, part int, text string, ids array<bigint>").checkpoint()
+    # at most two rows a partition: the next whole text after each partition, and the next that differs from that
+    w = Window.orderBy(F.desc("part"), F.desc(F.col("ids")[0]))
+    heads = found.where(F.col("kind") == HEAD)
+    after = heads.withColumn("before", F.lag("text").over(w)).withColumn("other", F.last(F.when(F.col("before") != F.col("text"), F.col("before")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    after = after.where(F.col("ids")[0] == 0).select("part", F.col("text").alias("next"), "other")
+    parts = found.select("part").distinct().join(after, "part", "left")
+    before = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.select("part", F.last(F.when(F.col("next").isNotNull(), F.struct("next", "other")), ignorenulls=True).over(before).alias("ahead"))
+    late = found.where(F.col("kind") == OPEN).join(ahead, "part")
+    following = F.when(F.col("ahead.next") != F.col("text"), F.col("ahead.next")).otherwise(F.col("ahead.other"))
+    hits = found.where(F.col("kind") == HIT).select("ids").union(late.where(following.startswith(F.col("text"))).select("ids"))
+    return hits.select(F.explode("ids").alias("id"))
 
 
 def length_spikes(df: DataFrame, least: int = 8, times: float = 6.0, reach: int = 20) -> DataFrame:
