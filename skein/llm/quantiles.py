@@ -17,15 +17,16 @@ def gamma(error: float) -> float:
 
 def bucket(c: Column, error: float = ERROR) -> Column:
     """Signed number of the bucket of a value: bucket i > 0 holds gamma**(i-1) < x <= gamma**i over OFFSET, mirrored for
-    negative values; 0 holds 0. Null and NaN have none. Magnitudes from 1e-9 up are told apart, smaller ones count as 0."""
+    negative values; 0 holds 0. Null, NaN and infinite values have none. Every other value of a double, however small, has
+    its bucket."""
     x = c.cast("double")
     i = F.ceil(F.log(F.abs(x)) / F.lit(math.log(gamma(error)))) + F.lit(offset(error))
-    return F.when(x.isNull() | F.isnan(x), F.lit(None)).when(F.abs(x) < F.lit(1e-9), F.lit(0)).otherwise(F.signum(x).cast("int") * i).cast("int")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("int") * i).cast("int")
 
 
 def offset(error: float) -> int:
     """Makes the bucket of the smallest magnitude 1."""
-    return math.ceil(9 * math.log(10) / math.log(gamma(error))) + 1
+    return math.ceil(1075 * math.log(2) / math.log(gamma(error))) + 1
 
 
 def value(b: Column, error: float = ERROR) -> Column:
@@ -37,7 +38,7 @@ def value(b: Column, error: float = ERROR) -> Column:
 
 def sketch(df: DataFrame, groups: list[str], column: str, error: float = ERROR) -> DataFrame:
     """(groups, bucket, n): a sketch per group. Counting combines map-side, so a hot group shuffles one row per task
-    and bucket; a group has a few thousand buckets at most, whatever its size. Null and NaN values aren't counted; a
+    and bucket; a group has a few thousand buckets at most, whatever its size. Null, NaN and infinite values aren't counted; a
     null group is a group; an empty table gives an empty sketch."""
     return df.select(*groups, bucket(F.col(column), error).alias("bucket")).where("bucket is not null").groupBy(*groups, "bucket").agg(F.count(F.lit(1)).alias("n"))
 

@@ -464,6 +464,36 @@ def test_percentile_error_and_merge(spark):
     assert quantiles.percentiles(quantiles.sketch(df.where("false"), ["g"], "x"), ["g"], points).count() == 0
 
 
+def test_every_double_has_its_bucket(spark):
+    values = [5e-324, -5e-324, 1e-300, 3e-10, -1e-9, 1.0, 1e300, 1.7e308, -1.7e308, 0.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(90, float("inf")), (91, float("-inf")), (92, None)], "g int, x double")
+    got = {r.g: r.value for r in quantiles.percentiles(quantiles.sketch(df, ["g"], "x"), ["g"], [0.5]).collect()}
+    assert set(got) == set(range(len(values)))
+    assert all(abs(got[i] - v) <= quantiles.ERROR * abs(v) * 1.0001 + 5e-324 for i, v in enumerate(values))
+
+
+def test_shortened_like_all_pairs(spark):
+    rng = random.Random(12)
+    for parts in (1, 5):
+        texts = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 6))), rng.random() < 0.4) for i in range(150)] + [(1000 + i, "abab", True) for i in range(60)]
+        df = spark.createDataFrame(texts, "k bigint, t string, w boolean").repartition(parts)
+        want = {k for k, t, _ in texts if any(w and u != t and u.startswith(t) for _, u, w in texts)}
+        assert {r.id for r in pairs.shortened(df, "k", "t", "w").collect()} == want
+        want = {k for k, t, _ in texts if any(u != t and u.startswith(t) for _, u, _ in texts)}
+        assert {r.id for r in pairs.shortened(df, "k", "t").collect()} == want
+
+
+def test_sources_that_say_nothing_are_refusals():
+    for reply in [
+        "Nothing in the indexed files covers the price list; I would only be guessing.", "I'd rather not comment on the tax code. Please contact an auditor.", "Hello! No document mentions that. Feel free to ask something else.",
+        "知识库里查不到价格目录，没有办法作答。您可以换一个问题。", "Über Gartabo liegen mir keine Angaben vor.", "Guten Tag, Die Unterlagen dazu reichen für eine Antwort nicht aus.", "Ese tema queda fuera de lo que puedo tratar; consulte con la guardia.", "Los documentos no mencionan el registro central, así que no hay respuesta.",
+    ]:
+        for spoken in (None, pairs.language(reply)):
+            assert pairs.is_refusal("What about the price list?", reply, spoken), reply
+    for reply in ["I can't see your price list from here, but the rule is clear. It applies from May.", "Eine Kopie kann ich nicht beilegen, die Regel lautet aber so. Sie gilt ab Mai.", "系统不能直接修改历史数据，不过处理方法如下。路由配置应排除保存期限表。", "No invoice is sent before the audit ends. The auditor signs it."]:
+        assert not pairs.is_refusal("What about the price list?", reply, pairs.language(reply)), reply
+
+
 # broken pairs
 
 
@@ -602,6 +632,37 @@ def test_viterbi_is_the_best_path():
         at += c
 
 
+def test_expected_states_are_sums_over_paths():
+    rng = np.random.default_rng(5)
+    counts = np.array([3, 0, 1, 4])
+    symbols, words = rng.integers(0, 10, 8), rng.integers(0, 40, 8).astype(float)
+    state, steps = spam_pages.expected(symbols, words, counts, spam_pages.Model())
+    weight, at, own, all_steps = 1 + np.log2(1 + words / 12), 0, np.zeros((8, 4)), np.zeros((4, 4))
+    for c in counts:
+        total, sums, pairs_ = 0.0, np.zeros((c, 4)), np.zeros((4, 4))
+        for path in itertools.product(range(4), repeat=int(c)) if c else []:
+            p = spam_pages.START[path[0]] * np.prod([spam_pages.EMISSION[path[i], symbols[at + i]] ** weight[at + i] for i in range(c)]) * np.prod([spam_pages.TRANSITION[path[i], path[i + 1]] for i in range(c - 1)])
+            total += p
+            for i in range(c):
+                sums[i, path[i]] += p
+            for i in range(c - 1):
+                pairs_[path[i], path[i + 1]] += p
+        if c:
+            own[at : at + c] = sums / total
+            all_steps += pairs_ / total
+        at += c
+    assert np.allclose(state, own) and np.allclose(steps, all_steps)
+
+
+def test_fitting_learns_the_symbols_of_a_state():
+    rng = np.random.default_rng(7)
+    tags = rng.choice([spam_pages.HASHTAGS, spam_pages.PLAIN], size=4000, p=[0.2, 0.8])
+    tags[::5] = spam_pages.HASHTAGS
+    model = spam_pages.fit(tags, np.full(4000, 5.0), np.full(400, 10), prior=50)
+    assert model.emission[spam_pages.TAGS, spam_pages.PLAIN] > 3 * spam_pages.EMISSION[spam_pages.TAGS, spam_pages.PLAIN]
+    assert all(np.allclose(x.sum(axis=-1), 1) for x in model)
+
+
 # queries
 
 
