@@ -59,7 +59,7 @@ def csv_list(c: Column) -> Column:
 
 def json_list(c: Column, schema: str = "array<string>") -> Column:
     """A JSON array, or an empty one if the text is no such array."""
-    return F.coalesce(F.from_json(c, schema), F.array().cast(schema))
+    return F.coalesce(F.when(F.startswith(F.ltrim(c), F.lit("[")), F.from_json(c, schema)), F.array().cast(schema))
 
 
 def split_last(c: Column, mark: str = " | ") -> tuple[Column, Column]:
