@@ -120,6 +120,38 @@ def test_full_sketch():
     assert len(own) >= 161 and got <= 161
 
 
+def stock_texts(phrases, per_text, count, seed=1):
+    rng = random.Random(seed)
+    stock = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(phrases)]
+    return [(i, " ".join(rng.sample(stock, per_text))) for i in range(count)]
+
+
+def test_texts_of_stock_phrases_enter_few_regions(spark):
+    """All shingles but those between phrases are hot; with phrases as pivots a text has about as many entries as without
+    hot ones, in place of one per pair of shingles."""
+    data = stock_texts(25, 10, 400)
+    df = spark.createDataFrame(data, "id bigint, t string")
+    counted = jaccard._counts(df, "id", "t", 3, 1, 1 << 20).checkpoint()
+    counts = jaccard._sketch(counted, 1 << 20)
+    level = jaccard.hot_level(counts, 40)
+    keys, reps = jaccard._phrases(df, "id", "t", 3, spark.sparkContext.broadcast(counts), level, 1.0)
+    assert len(set(reps.tolist())) == 25 and len(keys) >= 250
+    h, at = jaccard.shingles([t for _, t in data], 3)
+    per_text = lambda phrases, level: len(jaccard.entries(h, at, counts, level, 0.6, 1, phrases)[0]) / len(data)
+    cold, pairs_, few = per_text(None, 1e9), per_text(None, level), per_text((keys, reps), level)
+    assert few <= cold < pairs_ / 5
+
+
+def test_stock_phrases_lose_no_pair(spark):
+    data = stock_texts(9, 5, 120)
+    df = spark.createDataFrame(data, "id bigint, t string")
+    own = dict(zip([i for i, _ in data], sets([t for _, t in data], 3)))
+    want = {(a, b) for a, b in itertools.combinations(sorted(own), 2) if len(own[a] & own[b]) >= 0.6 * len(own[a] | own[b]) - 1e-9}
+    for hot in (20, 60):
+        classes, copies, near = jaccard.similar_texts(df, "id", "t", 0.6, 3, hot=hot)
+        assert {tuple(r) for r in jaccard.member_pairs(copies, near, "id", "a", "b").collect()} == want
+
+
 def test_sketches_are_added_as_a_tree(spark, monkeypatch):
     texts = [(i, f"a{i % 3} b{i % 5} c d e{i}") for i in range(300)]
     df = spark.createDataFrame(texts, "id bigint, t string").repartition(9)
