@@ -9,14 +9,33 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 500_000
 
 
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The frame, persisted until release()."""
+    _kept.append(df.persist())
+    return _kept[-1]
+
+
+def release() -> None:
+    """Gives back what earlier queries have persisted; a query that still needs it computes it again."""
+    while _kept:
+        df = _kept.pop()
+        try:
+            df.unpersist()
+        except Exception:  # its session has ended
+            continue
+
+
 def checked(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """The frame, kept, and marked for broadcast if it is counted to have at most so many (narrow) rows."""
-    df = df.persist()
+    df = kept(df)
     return F.broadcast(df) if df.count() <= most else df
 
 
 def _semi(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
-    keys = keys.select(on).persist()
+    keys = kept(keys.select(on))
     if keys.count() <= BROADCAST_KEYS:
         return df.join(F.broadcast(keys), on, how)
     return df.join(keys.hint("shuffle_hash"), on, how)

@@ -35,19 +35,30 @@ def siblings(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.withColumn("previous_no", F.lag("node_no").over(w)).withColumn("next_no", F.lead("node_no").over(w))
 
 
-def paths(nodes: DataFrame, key: str) -> DataFrame:
-    """(key, node_no, path): titles from the root down, by joins of one level after the other; as many rounds as the
-    tree is deep, whatever its size."""
+def _from_the_root(nodes: DataFrame, key: str, step, root, joined) -> DataFrame:
+    """(key, node_no, value) from the root down, by joins of one level after the other; as many rounds as the tree is
+    deep, whatever its size."""
     ensure_checkpoint_dir(nodes.sparkSession)
-    nodes = nodes.checkpoint()
-    level = nodes.where("parent_no is null").select(key, "node_no", F.col("title").alias("path"))
-    done, children = level, nodes.select(key, "node_no", "title", "parent_no")
+    nodes = nodes.select(key, "node_no", "parent_no", step.alias("step")).checkpoint()
+    level = nodes.where("parent_no is null").select(key, "node_no", root.alias("value"))
+    done = level
     while True:
-        level = children.join(level.withColumnRenamed("node_no", "parent_no"), [key, "parent_no"]).select(key, "node_no", F.concat_ws("/", "path", "title").alias("path")).checkpoint()
+        level = nodes.join(level.withColumnRenamed("node_no", "parent_no"), [key, "parent_no"]).select(key, "node_no", joined.alias("value")).checkpoint()
         if level.isEmpty():
-            break
+            return done
         done = done.unionByName(level)
-    return done
+
+
+def paths(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, node_no, path): titles from the root down."""
+    return _from_the_root(nodes, key, F.col("title"), F.col("step"), F.concat_ws("/", "value", "step")).withColumnRenamed("value", "path")
+
+
+def codes(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, node_no, code): the places of a node and of those above it below their parents; empty for a root."""
+    place = F.row_number().over(Window.partitionBy(key, "parent_no").orderBy("node_no")).cast("string")
+    joined = F.when(F.col("value") == "", F.col("step")).otherwise(F.concat_ws(".", "value", "step"))
+    return _from_the_root(nodes, key, place, F.lit(""), joined).withColumnRenamed("value", "code")
 
 
 def scope_paths(df: DataFrame, key: str, parent: str, name: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.joins import kept
+
 #: Keys with several deliveries that are sent to every task; above it the rows are shuffled by key instead.
 BROADCAST_KEYS = 300_000
 
@@ -34,13 +36,13 @@ def in_force(df: DataFrame, columns: list[str], key: str = "id", version: str =
     if placed is not None:
         narrow = placed.select(key, version, *extra, "__file", "__row").groupBy(key)
         chosen = F.max(F.struct(F.col(version), F.col("__file"), F.col("__row"), *extra)).alias("__last")
-        several = narrow.agg(F.count(F.lit(1)).alias("__n"), chosen).where("__n > 1").select(key, "__last").persist()
+        several = narrow.agg(F.count(F.lit(1)).alias("__n"), chosen).where("__n > 1").select(key, "__last")
+        several = kept(several)
         if several.count() <= BROADCAST_KEYS:
             last = several.select(key, F.col("__last.__file").alias("__lf"), F.col("__last.__row").alias("__lr"))
             joined = placed.join(F.broadcast(last), key, "left")
             mine = F.col("__lf").isNull() | ((F.col("__lf") == F.col("__file")) & (F.col("__lr") == F.col("__row")))
             return joined.where(mine & alive).select(*wanted)
-        several.unpersist()
         order = [F.col(version).desc_nulls_last(), F.col("__file").desc(), F.col("__row").desc()]
         df = placed
     else:

@@ -203,6 +203,22 @@ def numbered_evidence(spark: SparkSession, d: str) -> DataFrame:
     return blocks.select("query_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("evidence"))
 
 
+@query(SUB_ROWS + f""", n AS (SELECT query_id, part, id, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS no FROM st WHERE state = 'selected'),
+b AS (SELECT query_id, part, string_agg('[' || no || '] ' || left(chunk_text, 2200), chr(10) ORDER BY no) AS blocks FROM n JOIN (SELECT id, chunk_text FROM {CHUNKS}) c USING (id) GROUP BY query_id, part)
+SELECT query_id, string_agg((part + 1) || '. ' || question || chr(10) || coalesce(blocks, 'no evidence'), chr(10) || chr(10) ORDER BY part) AS prompt FROM sq LEFT JOIN b USING (query_id, part) GROUP BY query_id""")
+def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of every question: each sub-question with its numbered evidence, or a note that there is none."""
+    q = search.asked(spark, d).select("query_id", F.posexplode(R.split_questions(F.col("user_prompt"))).alias("part", "question"))
+    rows = sub_question_rows(spark, d).where("state = 'selected'")
+    n = rows.select("query_id", "part", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("part", "rank")).alias("no"))
+    block = F.concat(F.lit("["), F.col("no").cast("string"), F.lit("] "), F.left("chunk_text", F.lit(R.PARENT_CHARS)))
+    lines = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"])
+    blocks = n.join(search.chunks(spark, d), "id").groupBy("query_id", "part").agg(F.array_join(lines(F.struct("no", block.alias("t"))), "\n").alias("blocks"))
+    asked = q.join(blocks, ["query_id", "part"], "left")
+    text = F.concat((F.col("part") + 1).cast("string"), F.lit(". "), F.col("question"), F.lit("\n"), F.coalesce("blocks", F.lit("no evidence")))
+    return asked.groupBy("query_id").agg(F.array_join(lines(F.struct("part", text.alias("t"))), "\n\n").alias("prompt"))
+
+
 TERMS = "list_distinct(" + TOKENS + ")"
 
 

@@ -255,6 +255,38 @@ def call_limits(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy(usage.alias("usage")).agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("most_model"), F.max("t").alias("most_tool"))
 
 
+@query(f"""
+WITH r AS (SELECT lower(trim(dialogue_code)) AS code, count_if(lower(trim(stage_code)) = 'answer_generate') AS model_calls, count_if(lower(trim(stage_code)) = 'rag_retrieve') AS tool_calls FROM {STAGES} WHERE dialogue_code IS NOT NULL GROUP BY 1)
+SELECT code, model_calls, tool_calls, greatest(40 - model_calls, 0) AS model_left, greatest(30 - tool_calls, 0) AS tool_left, model_calls >= 40 OR tool_calls >= 30 AS ended FROM r""")
+def thread_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of a session's 40 model and 30 tool calls."""
+    code = F.lower(F.trim("stage_code"))
+    rows = live(spark, d, "chat_exchange_trace_stage", "dialogue_code", "stage_code").where("dialogue_code is not null")
+    by = rows.groupBy(T.code_key(F.col("dialogue_code")).alias("code")).agg(F.count_if(code == "answer_generate").alias("model_calls"), F.count_if(code == "rag_retrieve").alias("tool_calls"))
+    left = lambda c, most: F.greatest(F.lit(most) - F.col(c), F.lit(0))
+    return by.select("code", "model_calls", "tool_calls", left("model_calls", 40).alias("model_left"), left("tool_calls", 30).alias("tool_left"), ((F.col("model_calls") >= 40) | (F.col("tool_calls") >= 30)).alias("ended"))
+
+
+@query(ROUTES + """SELECT exchange_id, mode, array_to_string(ids[1:5], ',') AS documents, least(scopes, 3)::INT AS scopes, least(topics, 3)::INT AS topics FROM r""")
+def route_previews(spark: SparkSession, d: str) -> DataFrame:
+    """The first five documents, three scopes and three topics of a record."""
+    first = lambda c, n: F.slice(T.json_list(F.col(c)), 1, n)
+    ids = F.array_join(F.transform(F.slice("documents", 1, 5), lambda x: x["documentId"]), ",")
+    return records(spark, d).select("exchange_id", "mode", F.when(F.size("documents") > 0, ids).alias("documents"), F.size(first("top_scopes_json", 3)).alias("scopes"), F.size(first("top_topics_json", 3)).alias("topics"))
+
+
+@query(ROUTES + """, p AS (SELECT exchange_id, code, coalesce(ids, []) AS ids, coalesce(lag(ids) OVER (PARTITION BY code ORDER BY create_time NULLS FIRST, exchange_id), []) AS before FROM t)
+SELECT exchange_id, len(list_filter(list_distinct(ids), lambda x: NOT list_contains(before, x))) AS added, len(list_filter(list_distinct(before), lambda x: NOT list_contains(ids, x))) AS dropped, len(list_distinct(list_concat(ids, before))) AS together FROM p""")
+def candidate_sets(spark: SparkSession, d: str) -> DataFrame:
+    """What a turn's candidates add to those of the turn before, what they drop, and both together."""
+    turns = _turns(spark, d, "source_snapshot_list", "create_time").select("id", "code", "create_time", F.transform(T.json_list(F.col("source_snapshot_list"), CANDIDATES), lambda x: x["documentId"]).alias("ids"))
+    own = live(spark, d, "chat_dialogue", "dialogue_code").select(T.code_key(F.col("dialogue_code")).alias("code"))
+    none = F.array().cast("array<string>")
+    before = F.lag("ids").over(Window.partitionBy("code").orderBy(F.asc_nulls_first("create_time"), "id"))
+    p = turns.join(own, "code").withColumn("before", F.coalesce(before, none))
+    return p.select(F.col("id").alias("exchange_id"), F.size(F.array_except("ids", "before")).alias("added"), F.size(F.array_except("before", "ids")).alias("dropped"), F.size(F.array_union("ids", "before")).alias("together"))
+
+
 # sessions and turns
 
 
@@ -381,10 +413,10 @@ def used_scopes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 SELECT (SELECT count(*) FROM {DOCS}) AS documents, (SELECT count(*) FROM {SCOPES}) AS scopes, (SELECT count(*) FROM {DOC_SCOPE} WHERE scope IS NULL) AS without_scope,
-  (SELECT count(*) FROM {DOCS} WHERE coalesce(trim(business_category), '') = '') AS without_category, (SELECT count(*) FROM {DOCS} WHERE coalesce(trim(document_tags), '') = '') AS without_tags""")
+  (SELECT count(*) FROM {DOCS} WHERE coalesce(trim(business_category), '') = '') AS without_category, (SELECT count(*) FROM {DOCS} WHERE coalesce(trim(document_tags), '') = '') AS without_tags, (SELECT count(*) FROM {DOCS} WHERE coalesce(char_count, 0) = 0) AS without_text""")
 def metadata_summary(spark: SparkSession, d: str) -> DataFrame:
     none = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    docs = scoped(spark, d, "business_category", "document_tags").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("scope").isNull()).alias("without_scope"), F.count_if(none("business_category")).alias("without_category"), F.count_if(none("document_tags")).alias("without_tags"))
+    docs = scoped(spark, d, "business_category", "document_tags", "char_count").agg(F.count_if(F.coalesce("char_count", F.lit(0)) == 0).alias("without_text"), F.count(F.lit(1)).alias("documents"), F.count_if(F.col("scope").isNull()).alias("without_scope"), F.count_if(none("business_category")).alias("without_category"), F.count_if(none("document_tags")).alias("without_tags"))
     return docs.crossJoin(live(spark, d, "knowledge_scope_node").agg(F.count(F.lit(1)).alias("scopes")))  # one row each
 
 
@@ -421,11 +453,11 @@ def turn_status(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", T.strict_label(F.col("exchange_state"), {"1": "RUNNING", "2": "DONE", "3": "FAILED", "4": "STOPPED"}).alias("turn_status"), F.col("exchange_state").isNotNull().alias("has_answer"))
 
 
-@query(f"SELECT id, coalesce(scope, '') AS scope, coalesce(file_size::VARCHAR, '') AS size, coalesce(business_category, '') AS category, len(list_filter(list_transform(string_split(coalesce(document_tags, ''), ','), lambda x: trim(x)), lambda x: x <> '')) AS tags FROM {DOC_SCOPE}")
+@query(f"SELECT id, coalesce(scope, '') AS scope, coalesce(file_size::VARCHAR, '') AS size, coalesce(business_category, '') AS category, len(list_filter(list_transform(string_split(coalesce(document_tags, ''), ','), lambda x: trim(x)), lambda x: x <> '')) AS tags, coalesce(index_status = 3, FALSE) AS indexed, coalesce(strftime(edit_time, '%Y-%m-%d %H:%M:%S'), '') AS edited FROM {DOC_SCOPE}")
 def null_policy(spark: SparkSession, d: str) -> DataFrame:
-    """Null texts and numbers come out as empty text, null lists as empty ones."""
-    docs = scoped(spark, d, "file_size", "business_category", "document_tags")
-    return docs.select("id", F.coalesce("scope", F.lit("")).alias("scope"), F.coalesce(F.col("file_size").cast("string"), F.lit("")).alias("size"), F.coalesce("business_category", F.lit("")).alias("category"), F.size(T.csv_list(F.col("document_tags"))).alias("tags"))
+    """Null texts, numbers and times come out as empty text, null lists as empty ones, null flags as false."""
+    docs = scoped(spark, d, "file_size", "business_category", "document_tags", "index_status", "edit_time")
+    return docs.select("id", F.coalesce("scope", F.lit("")).alias("scope"), F.coalesce(F.col("file_size").cast("string"), F.lit("")).alias("size"), F.coalesce("business_category", F.lit("")).alias("category"), F.size(T.csv_list(F.col("document_tags"))).alias("tags"), F.coalesce(F.col("index_status") == 3, F.lit(False)).alias("indexed"), F.coalesce(F.date_format("edit_time", "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("edited"))
 
 
 @query(f"SELECT id, regexp_matches(lower(user_prompt), 'today|latest|current|now|heute|aktuell|hoy|actual|今天|最新|当前') AS fresh FROM {EXCHANGES} WHERE user_prompt IS NOT NULL")

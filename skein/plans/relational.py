@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from skein.functions import dates as D
 from skein.functions import ids as I
 from skein.functions import text as T
+from skein.operators import extensions as X
 from skein.operators import joins as J
 from skein.operators.versions import in_force, upsert
 from skein.plans.registry import live, live_sql, query
 from skein.session import work_folder
 from skein.sources import frames
-from skein.sources.tables import event_time, table
+from skein.sources.tables import event_time, table, upsert_table, write_table
 from skein.streaming import folds
 
 EXCHANGES, DOCS = live_sql("chat_exchange"), live_sql("agent_document")
@@ -174,6 +175,34 @@ def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
     return upsert(half(False), half(True), "id")
 
 
+@query("""
+WITH c AS (SELECT (min(epoch_us(edit_time)) + max(epoch_us(edit_time))) // 2 AS cut FROM document_embedding),
+x AS (SELECT id, embedding_model, edit_time, epoch_us(edit_time) >= cut AS fresh FROM document_embedding, c WHERE edit_time IS NOT NULL)
+SELECT id, arg_max(coalesce(embedding_model, ''), (fresh::INT, edit_time)) AS model FROM x GROUP BY id""")
+def stored_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """A table of embeddings written from the earlier half of its deliveries, then upserted with the later half."""
+    folder = work_folder(spark)
+    rows = table(spark, d, "document_embedding").where("edit_time is not null").select("id", "embedding", "embedding_model", "edit_time").withColumn("at", F.unix_micros(F.col("edit_time").cast("timestamp")))
+    cut = rows.agg(F.floor((F.min("at") + F.max("at")) / 2).alias("cut"))
+    marked = rows.crossJoin(F.broadcast(cut))  # one row
+    half = lambda late: in_force(marked.where((F.col("at") >= F.col("cut")) == F.lit(late)).drop("at", "cut"), ["embedding", "embedding_model"], status=None)
+    write_table(half(False), folder, "embedding")
+    upsert_table(spark, folder, "embedding", half(True), "id")
+    return table(spark, folder, "embedding").select("id", F.coalesce("embedding_model", F.lit("")).alias("model"))
+
+
+@query("SELECT title AS line, count(*) AS n FROM documents WHERE length(trim(title)) > 0 AND NOT regexp_matches(title, '[<>&\\s]{2}|[<&]|\\n|\\r') GROUP BY 1")
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Titles written as text and as HTML files, read back as files: each line once of each kind."""
+    folder = work_folder(spark)
+    titles = table(spark, d, "documents").where("length(trim(title)) > 0").where(~F.col("title").rlike(r"[<>&\s]{2}|[<&]|\n|\r")).select("title")
+    titles.coalesce(3).write.text(f"{folder}/plain")
+    titles.coalesce(3).select(F.concat(F.lit("<p class='t'>"), F.col("title"), F.lit("</p>"))).write.text(f"{folder}/pages")
+    files = frames.text_files(spark, f"{folder}/plain/*.txt").unionByName(frames.text_files(spark, f"{folder}/pages/*.txt").withColumn("text", frames.html_text(F.col("text"))))
+    lines = files.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.groupBy("line").agg((F.count(F.lit(1)) / 2).cast("bigint").alias("n"))
+
+
 @query(f"SELECT id, len(list_distinct(t)) AS tags, list_contains(t, 'policy') AS has_policy, len(list_filter(t, lambda x: NOT list_contains(['policy', '流程'], x))) = 0 AS only_known FROM (SELECT id, list_filter(list_transform(string_split(coalesce(document_tags, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS t FROM {DOCS})")
 def tag_sets(spark: SparkSession, d: str) -> DataFrame:
     t = live(spark, d, "agent_document", "document_tags").select("id", T.csv_list(F.col("document_tags")).alias("t"))
@@ -240,9 +269,10 @@ def price_ranges(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT k AS code, coalesce(n_name, 'UNKNOWN') AS name FROM (SELECT DISTINCT 'Nation_' || c_nationkey AS k, c_nationkey FROM customer UNION ALL SELECT ' nowhere ', -1) x LEFT JOIN nation ON n_nationkey = c_nationkey")
 def lookup_default(spark: SparkSession, d: str) -> DataFrame:
     """A keyed lookup with a default row; the table of nations is of fixed size."""
-    codes = table(spark, d, "customer").select("c_nationkey").distinct().select(F.concat(F.lit("Nation_"), F.col("c_nationkey").cast("string")).alias("code"), "c_nationkey").unionByName(spark.createDataFrame([(" nowhere ", -1)], "code string, c_nationkey int"))
-    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return codes.join(F.broadcast(names), "c_nationkey", "left").select("code", F.coalesce("n_name", F.lit("UNKNOWN")).alias("name"))
+    named = lambda c: F.concat(F.lit("Nation_"), F.col(c).cast("string"))
+    codes = table(spark, d, "customer").select(named("c_nationkey").alias("code")).distinct().unionByName(spark.createDataFrame([(" nowhere ",)], "code string"))
+    names = table(spark, d, "nation").select(F.lower(named("n_nationkey")).alias("k"), F.col("n_name").alias("name"))
+    return X.part("tool", "keyed lookup")(codes, "code", names, {"name": "UNKNOWN"})
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1")

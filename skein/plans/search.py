@@ -138,9 +138,9 @@ near AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e),
 vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near QUALIFY rank <= 8)"""
 
 
-def vector_channel(spark: SparkSession, d: str) -> DataFrame:
+def vector_channel(spark: SparkSession, d: str, width: int = R.CHANNEL_TOP) -> DataFrame:
     v = live(spark, d, "document_embedding", "embedding")
-    return R.vector_top(v.where("id % 20 = 0"), v, "id", "embedding", R.CHANNEL_TOP)
+    return R.vector_top(v.where("id % 20 = 0"), v, "id", "embedding", width)
 
 
 @query(f"WITH {NEAR} SELECT query_id, id, score, rank FROM vt")
@@ -169,12 +169,13 @@ fused AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS final_rank FROM fused)"""
 
 
-def fused(spark: SparkSession, d: str) -> DataFrame:
+def fused(spark: SparkSession, d: str, width: int = R.CHANNEL_TOP, floor: float = R.VECTOR_FLOOR) -> DataFrame:
+    """The fused candidates of both channels, of `width` results each."""
     v = live(spark, d, "document_embedding", "embedding").where(R.is_vector("embedding", 64)).where("id % 20 = 0").select("id")
     words = chunks(spark, d).where("id % 20 = 0").join(v, "id", "left_semi").select(F.col("id").alias("query_id"), F.col("chunk_text").alias("words"))
-    hits = R.bm25_top(words, "query_id", "words", chunks(spark, d), "id", "chunk_text", R.CHANNEL_TOP, others=True)
+    hits = R.bm25_top(words, "query_id", "words", chunks(spark, d), "id", "chunk_text", width, others=True)
     keyword = R.keyword_gate(hits, ["query_id"])
-    vector = vector_channel(spark, d).where(F.col("score") >= R.VECTOR_FLOOR)
+    vector = vector_channel(spark, d, width).where(F.col("score") >= floor)
     return R.top(R.fuse({"vector": vector, "keyword": keyword}, "query_id", "id"), ["query_id"], "rrf_score", "id", R.MERGED_TOP, "final_rank")
 
 
@@ -189,6 +190,18 @@ def hybrid_top5(spark: SparkSession, d: str) -> DataFrame:
     return fused(spark, d).where(F.col("final_rank") <= R.FINAL_TOP).select("query_id", "id", "rrf_score", "final_rank")
 
 
+@query(HYBRID.replace("rank <= 8", "rank <= 12") + " SELECT query_id, id, rrf_score, final_rank FROM ranked WHERE final_rank <= 5")
+def hybrid_of_12(spark: SparkSession, d: str) -> DataFrame:
+    """The same with 12 results from each channel."""
+    return fused(spark, d, 12).where(F.col("final_rank") <= R.FINAL_TOP).select("query_id", "id", "rrf_score", "final_rank")
+
+
+@query(HYBRID.replace("rank <= 8", "rank <= 20").replace("score >= 0.45", "score >= 0.3") + " SELECT query_id, id, rrf_score, final_rank FROM ranked WHERE final_rank <= 5")
+def hybrid_of_20(spark: SparkSession, d: str) -> DataFrame:
+    """The same with 20 results from each channel and a threshold of 0.3."""
+    return fused(spark, d, 20, 0.3).where(F.col("final_rank") <= R.FINAL_TOP).select("query_id", "id", "rrf_score", "final_rank")
+
+
 ELEVATED = HYBRID + f""", el AS (
   SELECT query_id, parent_block_id, max(rrf_score) AS rrf_score, count(*) AS hits, count(*) >= 2 AS is_elevated FROM ranked JOIN (SELECT id, parent_block_id FROM {CHUNKS} WHERE parent_block_id IS NOT NULL) c USING (id) WHERE final_rank <= 10 GROUP BY 1, 2),
 pt AS (SELECT parent_block_id, left(string_agg(chunk_text, chr(10) ORDER BY chunk_no NULLS FIRST, id), 2200) AS evidence FROM {CHUNKS} WHERE parent_block_id IS NOT NULL AND chunk_text IS NOT NULL GROUP BY 1),
@@ -327,6 +340,17 @@ def history_budget(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).withColumn("used", F.sum("chars").over(w)).select("code", "id", "used", (F.col("used") <= 1600).alias("for_planning"), (F.col("used") <= 1000).alias("for_answer"))
 
 
+@query(f"""SELECT code, count(*) AS turns, count_if(back <= 4 AND recent <= 2200) AS kept, count_if(back > 4 AND old <= 1400) AS summarised, count_if(back > 4 AND old > 1400) AS left_out FROM (
+  SELECT *, sum(CASE WHEN back <= 4 THEN chars ELSE 0 END) OVER w AS recent, sum(CASE WHEN back > 4 THEN least(chars, 200) ELSE 0 END) OVER w AS old FROM {TURNS} WINDOW w AS (PARTITION BY code ORDER BY back ROWS UNBOUNDED PRECEDING)) GROUP BY code""")
+def memory_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Turns whose text stays (of the latest four, within 2200 characters), those a summary of 1400 characters holds at 200
+    each [choice], and the rest."""
+    w = Window.partitionBy("code").orderBy("back").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.col("back") <= 4
+    t = turns(spark, d).withColumn("recent", F.sum(F.when(new, F.col("chars")).otherwise(0)).over(w)).withColumn("old", F.sum(F.when(~new, F.least("chars", F.lit(200))).otherwise(0)).over(w))
+    return t.groupBy("code").agg(F.count(F.lit(1)).alias("turns"), F.count_if(new & (F.col("recent") <= 2200)).alias("kept"), F.count_if(~new & (F.col("old") <= 1400)).alias("summarised"), F.count_if(~new & (F.col("old") > 1400)).alias("left_out"))
+
+
 # structure
 
 
@@ -359,6 +383,14 @@ def structure_paths(spark: SparkSession, d: str) -> DataFrame:
     return S.paths(S.structure_nodes(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
+@query(NODES_SQL + """, ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_no ORDER BY node_no) AS place FROM tree),
+way AS (SELECT doc_id, node_no, '' AS code FROM ordered WHERE parent_no IS NULL UNION ALL SELECT t.doc_id, t.node_no, CASE WHEN w.code = '' THEN t.place::VARCHAR ELSE w.code || '.' || t.place END FROM ordered t JOIN way w ON t.doc_id = w.doc_id AND t.parent_no = w.node_no)
+SELECT doc_id, node_no::INT AS node_no, code FROM way""")
+def structure_codes(spark: SparkSession, d: str) -> DataFrame:
+    """The code of every node: its place below its parent, behind its parent's code."""
+    return S.codes(S.structure_nodes(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
 @query(f"""
 WITH RECURSIVE n AS (SELECT id, parent_scope_id, scope_code FROM {SCOPES}),
 t AS (SELECT id, id AS root, 0 AS depth, scope_code AS path FROM n WHERE parent_scope_id IS NULL UNION ALL SELECT n.id, t.root, t.depth + 1, t.path || '/' || n.scope_code FROM n JOIN t ON n.parent_scope_id = t.id)
