@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +47,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(shared_folder(spark))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has both garbage collectors run, so that the files of shuffles that nothing refers to any more (a checkpoint has
+    taken their place) leave the disks now and not when the driver's memory happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder where all executors can read and write."""
     return f"{shared_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
