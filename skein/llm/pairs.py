@@ -192,11 +192,11 @@ def _features(df: DataFrame) -> DataFrame:
     return df.select("id", "prompt", "reply").mapInArrow(run, "id bigint, prompt string, reply string, copy boolean, refusal boolean, other_language boolean, ends string, last string, spoken string")
 
 
-def sentence_ends(df: DataFrame, text: str, spoken: str, least: int = 2, share: float = 0.1) -> DataFrame:
-    """(spoken, last): by language, and with '' for all of them, the words (or pairs of ideographs) that end a sentence
-    in at least `share` of the part of their occurrences that words do on average [choice: unpunctuated ends are far
-    oftener complete than cut], which does not depend on the size of the table; an end seen less than `least` times may
-    be an accident."""
+def sentence_ends(df: DataFrame, text: str, spoken: str, asked: DataFrame, least: int = 2, share: float = 0.1) -> DataFrame:
+    """(spoken, last): of the words asked about (last), by language, and with '' for all of them, those (or pairs of
+    ideographs) that end a sentence in at least `share` of the part of their occurrences that words do on average [choice:
+    unpunctuated ends are far oftener complete than cut], which does not depend on the size of the table; an end seen less
+    than `least` times may be an accident. All texts are counted; only counts of words that are asked about are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,13 +204,19 @@ def sentence_ends(df: DataFrame, text: str, spoken: str, least: int = 2, share:
             for t, name in zip(*(c.to_pylist() for c in batch.columns)):
                 seen[name].update(last_words(t))
                 stops.update((name, w) for s in ENDED.findall(t) if (w := last_word(s)))
-            keys = [(n, w) for n, own in seen.items() for w in own]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.string()), pa.array([seen[n][w] for n, w in keys], pa.int64()), pa.array([stops[k] for k in keys], pa.int64())], names=["spoken", "last", "seen", "stops"])
+            rows = [(n, w, k, stops[n, w]) for n, own in seen.items() for w, k in own.items()]
+            rows += [(n, None, sum(own.values()), sum(stops[n, w] for w in own)) for n, own in seen.items()]  # all words
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["spoken", "last", "seen", "stops"])
 
-    own = df.select(text, spoken).mapInArrow(run, "spoken string, last string, seen bigint, stops bigint").groupBy("spoken", "last").agg(F.sum("seen").alias("seen"), F.sum("stops").alias("stops")).checkpoint()
-    counts = own.where("spoken <> ''").unionByName(own.withColumn("spoken", F.lit("")).groupBy("spoken", "last").agg(F.sum("seen").alias("seen"), F.sum("stops").alias("stops")))
-    mean = counts.groupBy("spoken").agg((F.sum("stops") / F.sum("seen")).alias("mean"))
-    return counts.join(F.broadcast(mean), "spoken").where((F.col("stops") >= least) & (F.col("stops") >= share * F.col("mean") * F.col("seen"))).select("spoken", "last")  # mean has a row per language
+    words_ = checked(asked.select("last").where("last is not null").distinct().withColumn("asked", F.lit(True)))
+    rows = df.select(text, spoken).mapInArrow(run, "spoken string, last string, seen bigint, stops bigint").join(words_, "last", "left").where("asked or last is null")
+    total = [F.sum(c).alias(c) for c in ("seen", "stops")]
+    own = rows.groupBy("spoken", "last").agg(*total).checkpoint()
+    counts = own.where("spoken <> ''").unionByName(own.withColumn("spoken", F.lit("")).groupBy("spoken", "last").agg(*total))
+    mean = counts.where("last is null").select("spoken", (F.col("stops") / F.col("seen")).alias("mean"))  # a row per language
+    return counts.where("last is not null").join(F.broadcast(mean), "spoken").where((F.col("stops") >= least) & (F.col("stops") >= share * F.col("mean") * F.col("seen"))).select("spoken", "last")
 
 
 def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,23 +299,25 @@ def defective_pairs(df: DataFrame, key: str, prompt: str, reply: str) -> DataFra
     empty = rows.where(is_blank(F.col("reply"))).select("id", F.lit("empty").alias("defect"))
     judged = _features(rows.where(~is_blank(F.col("reply")))).withColumn("asked", F.md5(F.lower(F.trim("prompt")))).drop("prompt").checkpoint()
     early = F.when(F.col("copy"), "copy").when(F.col("refusal"), "refusal").when(F.col("other_language"), "language")
-    stops = sentence_ends(judged, "reply", "spoken").withColumn("stops", F.lit(True))
     rest = judged.where(early.isNull())
-    cut = shortened(judged.select("id", "reply"), "id", "reply").distinct().withColumn("cut", F.lit(True))
+    flag = lambda df, name: checked(df.withColumn(name, F.lit(True)))
+    unsure = rest.where("ends in ('short', 'item')")
+    stops = flag(sentence_ends(judged, "reply", "spoken", unsure), "stops")
+    cut = flag(shortened(judged.select("id", "reply"), "id", "reply").distinct(), "cut")
     # the same prompt has a complete answer that only goes on
     answers = rest.select("id", F.concat("asked", F.rtrim("reply")).alias("answer"), (F.col("ends") == "end").alias("whole"))
-    begun = shortened(answers, "id", "answer", "whole").distinct().withColumn("begun", F.lit(True))
+    begun = flag(shortened(answers, "id", "answer", "whole").distinct(), "begun")
     # a length limit: open replies crowd at a length, and so do those that stop there with a complete ending by chance
     limits = length_spikes(rest.where("ends = 'open'")).join(length_spikes(rest.where("ends <> 'open'").select("reply").distinct()), "length")
-    spikes = limits.withColumn("spike", F.lit(True))
-    doubtful = rest.select("id", F.length("reply").alias("length"), "ends", "last", "spoken").join(stops, ["spoken", "last"], "left").join(cut, "id", "left").join(begun, "id", "left").join(checked(spikes), "length", "left")
+    doubtful = rest.where("ends <> 'open'").select("id", F.length("reply").alias("length"), "ends", "last", "spoken")
+    doubtful = doubtful.join(stops, ["spoken", "last"], "left").join(cut, "id", "left").join(begun, "id", "left").join(flag(limits, "spike"), "length", "left")
     known_end = F.col("stops").isNotNull()
     broken = (
-        F.when((F.col("ends") == "open") | F.col("begun") | F.col("spike"), True)
+        F.when(F.col("begun") | F.col("spike"), True)
         .when(F.col("ends") == "end", False)
         .when(F.col("ends") == "short", ~known_end & (F.coalesce("cut", F.lit(False)) | (F.col("length") >= 12)))
         .otherwise(~known_end)
     )
-    truncated = doubtful.where(broken).select("id", F.lit("truncated").alias("defect"))
+    truncated = rest.where("ends = 'open'").select("id").unionByName(doubtful.where(broken).select("id")).withColumn("defect", F.lit("truncated"))
     found = judged.select("id", early.alias("defect")).where("defect is not null")
     return empty.unionByName(found).unionByName(truncated).withColumnRenamed("id", key)
