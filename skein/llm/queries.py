@@ -285,18 +285,34 @@ FROM c GROUP BY measure, grp, c.day
 """
 
 
-SQL["p1_found"] = """
+_LINES = """
 WITH d AS (
   SELECT id, lower(trim(knowledge_scope_code)) AS scope, row_number() OVER (PARTITION BY id ORDER BY edit_time DESC NULLS LAST) AS rn FROM agent_document),
 c AS (
-  SELECT id, document_id, chunk_text, status, row_number() OVER (PARTITION BY id ORDER BY edit_time DESC NULLS LAST) AS rn FROM document_chunk),
+  SELECT id, document_id, chunk_text FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY edit_time DESC NULLS LAST) AS rn FROM document_chunk) WHERE rn = 1 AND coalesce(status, 1) <> 0),
 l AS (
   SELECT c.id AS chunk_id, c.document_id, d.scope, unnest(string_split(c.chunk_text, chr(10))) AS line, generate_subscripts(string_split(c.chunk_text, chr(10)), 1) - 1 AS line_no
-  FROM c JOIN d ON d.id = c.document_id AND d.rn = 1 AND d.scope <> ''
-  WHERE c.rn = 1 AND coalesce(c.status, 1) <> 0),
+  FROM c LEFT JOIN d ON d.id = c.document_id AND d.rn = 1 AND d.scope <> ''),
 k AS (SELECT *, regexp_replace(lower(line), '[^\\p{L}]+', '', 'g') AS letters FROM l),
-r AS (SELECT scope, letters FROM k WHERE length(letters) >= 10 GROUP BY ALL HAVING count(DISTINCT document_id) >= 6)
-SELECT chunk_id, line_no::INT AS line_no FROM k JOIN r USING (scope, letters)
+r AS (SELECT scope, letters FROM k WHERE scope IS NOT NULL AND length(letters) >= 10 GROUP BY ALL HAVING count(DISTINCT document_id) >= 6)
+"""
+SQL["p1_found"] = _LINES + "SELECT chunk_id, line_no::INT AS line_no FROM k JOIN r USING (scope, letters)"
+SQL["p1_cleaned"] = _LINES + """, t AS (
+  SELECT chunk_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (r.letters IS NULL), '') AS kept, count(r.letters) AS gone
+  FROM k LEFT JOIN r ON r.scope = k.scope AND r.letters = k.letters GROUP BY chunk_id)
+SELECT c.id AS chunk_id, c.document_id, CASE WHEN gone > 0 THEN kept ELSE c.chunk_text END AS chunk_text FROM c LEFT JOIN t ON t.chunk_id = c.id
+"""
+
+#: Every pair by its common triples, through an inverted index: for small tables.
+SQL["p3_found"] = """
+WITH c AS (
+  SELECT id, regexp_extract_all(regexp_replace(lower(chunk_text), '([\u4e00-\u9fff])', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+') AS w
+  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY edit_time DESC NULLS LAST) AS rn FROM document_chunk) WHERE rn = 1 AND coalesce(status, 1) <> 0 AND chunk_text IS NOT NULL),
+s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM c),
+n AS (SELECT id, len(s) AS n FROM s WHERE len(s) >= 20),
+t AS (SELECT id, unnest(s) AS t FROM s WHERE len(s) >= 20),
+b AS (SELECT x.id AS a, y.id AS b, count(*) AS common FROM t x JOIN t y ON x.t = y.t AND x.id < y.id GROUP BY 1, 2)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM b JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE common >= 0.6 * (na.n + nb.n - common)
 """
 
 
