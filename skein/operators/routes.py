@@ -55,8 +55,8 @@ def route_records(df: DataFrame) -> DataFrame:
 
 
 def route_summary(records: DataFrame) -> DataFrame:
-    """One row of counts, averages and rates over route_records(); averages are over the confidences that are numbers,
-    rates in percent, null without a base."""
+    """One row of counts, averages and rates over route_records(); the average confidence is over those
+    that are numbers and has four digits, rates are in percent, null without a base."""
     mode, status, conf = F.col("mode"), F.col("route_status"), F.col("confidence")
     n = F.count(F.lit(1))
     rate = lambda part, whole: F.round(F.try_divide(F.lit(100.0) * F.count_if(part), whole), 6)
@@ -65,7 +65,7 @@ def route_summary(records: DataFrame) -> DataFrame:
         n.alias("total"), F.count_if(mode == "auto").alias("auto"), F.count_if(shadow).alias("shadow"),
         *[F.count_if(status == s).alias(s.lower()) for s in ("SUCCESS", "LOW_CONFIDENCE", "FAILED")],
         F.count_if(conf >= HIGH).alias("high"), F.count_if("widened").alias("widened"), F.count_distinct("top_document").alias("top_documents"),
-        F.round(F.avg(conf), 6).alias("avg_confidence"), *[F.round(F.avg(f"{c}_count"), 6).alias(f"avg_{c}s") for c in ("document", "topic", "scope")],
+        F.round(F.avg(conf), 4).alias("avg_confidence"), *[F.round(F.avg(f"{c}_count"), 6).alias(f"avg_{c}s") for c in ("document", "topic", "scope")],
         rate(status == "SUCCESS", n).alias("success_rate"), rate(status != "SUCCESS", n).alias("low_rate"), rate(shadow & F.col("hit"), F.count_if(shadow & (F.col("hit") | F.col("missed")))).alias("shadow_hit_rate"),
     )
 

@@ -83,7 +83,7 @@ r AS (
 
 @query(ROUTES + """
 SELECT count(*) AS total, count_if(mode = 'shadow') AS shadow, count_if(mode = 'auto') AS auto, count_if(route_status = 'SUCCESS') AS success, count_if(route_status = 'LOW_CONFIDENCE') AS low_confidence, count_if(route_status = 'FAILED') AS failed,
-  count_if(confidence >= 0.8) AS high, count_if(mode = 'auto' AND confidence < 0.8 AND n >= 5) AS widened, round(avg(confidence), 6) AS avg_confidence, round(avg(n), 6) AS avg_documents, round(avg(topics), 6) AS avg_topics, round(avg(scopes), 6) AS avg_scopes,
+  count_if(confidence >= 0.8) AS high, count_if(mode = 'auto' AND confidence < 0.8 AND n >= 5) AS widened, round(avg(confidence), 4) AS avg_confidence, round(avg(n), 6) AS avg_documents, round(avg(topics), 6) AS avg_topics, round(avg(scopes), 6) AS avg_scopes,
   count(DISTINCT top_document) AS top_documents, round(100.0 * count_if(route_status = 'SUCCESS') / nullif(count(*), 0), 6) AS success_rate, round(100.0 * (count_if(route_status = 'LOW_CONFIDENCE') + count_if(route_status = 'FAILED')) / nullif(count(*), 0), 6) AS low_rate,
   round(100.0 * count_if(mode = 'shadow' AND hit_) / nullif(count_if(mode = 'shadow' AND hit_ IS NOT NULL), 0), 6) AS shadow_hit_rate FROM r""")
 def route_trace_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_route_records(traces):
 def test_route_summary(traces):
     r = routes.route_summary(routes.route_records(traces)).first()
     assert (r.total, r.auto, r.shadow, r.success, r.low_confidence, r.failed, r.high, r.widened, r.top_documents) == (7, 5, 2, 2, 2, 3, 2, 1, 4)
-    assert (r.avg_confidence, r.shadow_hit_rate) == (round((0.79 + 0.8 + 0.9 + 0.1) / 4, 6), 50.0)
+    assert (r.avg_confidence, r.shadow_hit_rate) == (round((0.79 + 0.8 + 0.9 + 0.1) / 4, 4), 50.0)
     assert r.low_rate == round(500 / 7, 6) and r.avg_documents == round((5 + 2 + 1 + 4 + 0 + 1 + 6) / 7, 6)
     nothing = routes.route_summary(routes.route_records(traces.where("false"))).first()
     assert nothing.total == 0 and nothing.success_rate is None and nothing.avg_confidence is None
