@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What people and programs write for a missing value.
-STAND_INS = ["null", "none", "nil", "nan", "na", "n/a", "undefined", "empty", "no content", "n.a", "无内容", "无", "空", "void", "missing", "not available", "no data", "sin contenido", "kein inhalt", "leer", "vacío"]
+#: What people and programs write for a missing value. A bare 无 is an answer, as No is.
+STAND_INS = ["null", "none", "nil", "nan", "na", "n/a", "undefined", "empty", "no content", "n.a", "无内容", "空", "void", "missing", "not available", "no data", "sin contenido", "kein inhalt", "leer", "vacío"]
 _EDGES = r"(?U)^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
