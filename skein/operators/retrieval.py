@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.operators.joins import with_keys
 from skein.session import ensure_checkpoint_dir
 
 K1, B = 1.2, 0.75  # [choice]
@@ -170,6 +171,96 @@ def top(df: DataFrame, groups: list[str], score: str, key: str, n: int, rank: st
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+def terms_of(df: DataFrame, text: str, *columns: str) -> DataFrame:
+    """(columns, h): the distinct terms of each text, hashed."""
+    return df.select(*columns, F.explode(F.array_distinct(F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)))).alias("h"))
+
+
+def question_classes(asked: DataFrame, key: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions with the same known terms have the same hits and count as one. (of, terms): each class with the smallest
+    key in it; (key, of): its members. Questions without a known term are in none. asked has (key, h), known has h."""
+    own = with_keys(asked, known, "h").groupBy(key).agg(F.sort_array(F.collect_set("h")).alias("terms")).checkpoint()
+    classes = own.groupBy("terms").agg(F.min(key).alias("of")).checkpoint()
+    return classes.select("of", "terms"), own.join(classes, "terms").select(key, "of")
+
+
+def first_alike(docs: DataFrame, groups: list[str], n: int) -> DataFrame:
+    """The n smallest ids of each group: all of a group score alike, so no other can be among the n best of a query."""
+    w = Window.partitionBy(*groups).orderBy("id")
+    return docs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
+def routed_top(queries: DataFrame, docs: DataFrame, n: int, unit: int) -> DataFrame:
+    """(of, id, scope, value, rank): the n documents of the highest value for each query, then of the smallest id, among
+    those that share a term with it and lie in one of its scopes. The value is `unit` for each shared term, the bonus of
+    the document's scope and the largest bonus among its topics; all are whole numbers.
+
+    queries has (of, terms, scopes, scope_bonus, topics, topic_bonus) and docs has (id, terms, scope, topics); terms and
+    topics are hashes in arrays, as are the scopes of queries; a topic's hash is that of its scope and name. Both are cut
+    into blocks of bounded size, and n documents per query leave a task, so no (query, document) pair is shuffled."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    none = F.array().cast("array<bigint>")
+    docs, queries = docs.select("id", "terms", "scope", "topics").checkpoint(), queries.checkpoint()
+    total = docs.count()
+    qb, vb = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-total // TEXT_BLOCK), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2000))
+    here = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    queries = queries.withColumnRenamed("of", "id").withColumn("scope", F.lit(None).cast("string"))
+    docs = docs.withColumns({"scopes": F.array(F.xxhash64("scope")), "scope_bonus": none, "topic_bonus": none})
+    columns = ["id", "scope", "terms", "scopes", "scope_bonus", "topics", "topic_bonus"]
+    both = queries.select(here(qb).alias("q"), spread(vb).alias("b"), F.lit(1).alias("side"), *columns).unionByName(docs.select(spread(qb).alias("q"), here(vb).alias("b"), F.lit(0).alias("side"), *columns))
+
+    def score(table: pa.Table) -> pa.Table:
+        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        lists = {}
+        for c in columns[2:]:
+            x = table.column(c).combine_chunks()
+            lists[c] = x.flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()
+        of = lambda c, i: lists[c][0][lists[c][1][i] : lists[c][1][i + 1]]
+        d = np.flatnonzero(side == 0)
+        d = d[np.argsort(ids[d])]  # in order of id, so ties are too
+
+        def inverted(c: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            names, at = np.unique(np.concatenate([of(c, i) for i in d]), return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            return names, np.repeat(np.arange(len(d)), np.diff(lists[c][1])[d])[order], np.searchsorted(at[order], np.arange(len(names) + 1))
+
+        def found(names: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(names, mine), max(len(names) - 1, 0))
+            hit = names[at] == mine if len(names) else np.zeros(len(mine), bool)
+            return at[hit], hit
+
+        out = []
+        if len(d):
+            names, doc, at = inverted("terms")
+            topics, in_topic, topic_at = inverted("topics")
+            scopes, scope = np.unique(np.array([of("scopes", i)[0] for i in d]), return_inverse=True)
+        for i in np.flatnonzero(side == 1) if len(d) else []:
+            own, _ = found(names, of("terms", i))
+            shared = np.bincount(np.concatenate([doc[at[t] : at[t + 1]] for t in own]), minlength=len(d)) if len(own) else np.zeros(len(d), np.int64)
+            own, hit = found(scopes, of("scopes", i))
+            bonus, inside = np.zeros(len(scopes), np.int64), np.zeros(len(scopes), bool)
+            bonus[own], inside[own] = of("scope_bonus", i)[hit], True
+            own, hit = found(topics, of("topics", i))
+            extra = np.zeros(len(d), np.int64)
+            for t, more in zip(own, of("topic_bonus", i)[hit]):
+                w = in_topic[topic_at[t] : topic_at[t + 1]]
+                extra[w] = np.maximum(extra[w], more)
+            c = np.flatnonzero((shared > 0) & inside[scope])
+            value = shared[c] * unit + bonus[scope[c]] + extra[c]
+            if len(c) > n:  # all that reach the n-th best value, so that ties are decided by id alone
+                enough = value >= np.partition(value, len(c) - n)[len(c) - n]
+                c, value = c[enough], value[enough]
+                best = np.argsort(-value, kind="stable")[:n]
+                c, value = c[best], value[best]
+            out.append((np.full(len(c), ids[i]), d[c], value))
+        a, b, v = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        return pa.table({"of": pa.array(a, pa.int64()), "id": pa.array(ids[b], pa.int64()), "scope": table.column("scope").combine_chunks().take(pa.array(b, pa.int64())).cast(pa.string()), "value": pa.array(v, pa.int64())})
+
+    return top(both.groupBy("q", "b").applyInArrow(score, "of bigint, id bigint, scope string, value bigint"), ["of"], "value", "id", n)
+
+
 def keyword_gate(df: DataFrame, groups: list[str], score: str = "score", share: float = KEYWORD_FLOOR) -> DataFrame:
     """Rows with at least a share of their group's best score. Call it on rows cut to the top, which hold the best."""
     return df.withColumn("__best", F.max(score).over(Window.partitionBy(*groups))).where(F.col(score) >= share * F.col("__best")).drop("__best")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import retrieval as R
 from skein.operators import structure as S
+from skein.operators.joins import with_keys
 from skein.plans.registry import live, live_sql, query
-from skein.session import work_folder
+from skein.session import ensure_checkpoint_dir, work_folder
 from skein.sources.tables import table
 
 DOCS, CHUNKS, VECTORS, EXCHANGES, DIALOGUES, SCOPES = map(live_sql, ["agent_document", "document_chunk", "document_embedding", "chat_exchange", "chat_dialogue", "knowledge_scope_node"])
@@ -298,15 +299,24 @@ dr AS (SELECT s.query_id, s.id, s.scope, s.score, scope_rank, row_number() OVER
 @query(FUNNEL + " SELECT query_id, id, scope, score, scope_rank, rank FROM dr WHERE rank <= CASE WHEN best >= 3 THEN 3 ELSE 5 END")
 def route_funnel(spark: SparkSession, d: str) -> DataFrame:
     """Scopes, then documents inside the three best scopes, by shared words [choice]; three documents if the best shares
-    three words, else five."""
-    q = asked(spark, d).select("query_id", F.explode(F.array_distinct(R.tokens(F.col("user_prompt")))).alias("term"))
+    three words, else five. What a scope scores is a sum over terms, documents with the same asked words and questions
+    with the same words of names are alike, and the rest meets in blocks, so questions don't meet documents one by one."""
+    ensure_checkpoint_dir(spark)
+    q = R.terms_of(asked(spark, d), "user_prompt", "query_id")
     docs = live(spark, d, "agent_document", "knowledge_scope_code", "document_name").withColumn("scope", T.code_key(F.col("knowledge_scope_code"))).where("scope <> ''")
-    terms = docs.select("id", "scope", F.explode(F.array_distinct(R.tokens(F.col("document_name")))).alias("term"))
-    s = q.join(terms, "term").groupBy("query_id", "id", "scope").agg(F.count(F.lit(1)).alias("score"))
-    scopes = R.top(s.groupBy("query_id", "scope").agg(F.sum("score").alias("scope_score")), ["query_id"], "scope_score", "scope", 3, "scope_rank")
-    w = Window.partitionBy("query_id")
-    ranked = s.join(scopes.select("query_id", "scope", "scope_rank"), ["query_id", "scope"]).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "scope_rank", "id"))).where("rank <= 5").withColumn("best", F.max("score").over(w))
-    return ranked.where(F.col("rank") <= F.when(F.col("best") >= 3, 3).otherwise(5)).drop("best")
+    terms = with_keys(R.terms_of(docs, "document_name", "id", "scope"), q.select("h").distinct(), "h").checkpoint()
+    classes, members = R.question_classes(q, "query_id", terms.select("h").distinct())
+    weight = terms.groupBy("scope", "h").agg(F.count(F.lit(1)).alias("w"))
+    scores = classes.select("of", F.explode("terms").alias("h")).join(weight, "h").groupBy("of", "scope").agg(F.sum("w").alias("scope_score"))
+    scopes = R.top(scores, ["of"], "scope_score", "scope", 3, "scope_rank").select("of", "scope", "scope_rank").checkpoint()
+    # a term counts more than the places of the scopes, which order what shares as many
+    none = F.array().cast("array<bigint>")
+    bonus = scopes.groupBy("of").agg(F.collect_list(F.xxhash64("scope")).alias("scopes"), F.collect_list(-F.col("scope_rank").cast("bigint")).alias("scope_bonus"))
+    queries = classes.join(bonus, "of").withColumns({"topics": none, "topic_bonus": none})
+    some = R.first_alike(terms.groupBy("id").agg(F.any_value("scope").alias("scope"), F.sort_array(F.collect_set("h")).alias("terms")), ["scope", "terms"], 5)
+    found = R.routed_top(queries, some.withColumn("topics", none), 5, 4).join(scopes, ["of", "scope"]).withColumn("score", F.floor((F.col("value") + F.col("scope_rank")) / 4))
+    ranked = found.withColumn("best", F.max("score").over(Window.partitionBy("of"))).where(F.col("rank") <= F.when(F.col("best") >= 3, 3).otherwise(5))
+    return ranked.join(members, "of").select("query_id", "id", "scope", "score", "scope_rank", "rank")
 
 
 # memory
