@@ -13,10 +13,11 @@ from skein.operators import extensions as X
 from skein.operators import retrieval as R
 from skein.operators import routes
 from skein.operators import structure as S
+from skein.operators.joins import with_keys
 from skein.plans import search
 from skein.plans.registry import live, live_sql, query
 from skein.plans.search import ASKED, HYBRID, NEAR, NODES_SQL, POSTINGS, TOKENS, bm25_sql
-from skein.session import work_folder
+from skein.session import ensure_checkpoint_dir, work_folder
 from skein.sources.tables import event_time, table
 from skein.streaming import folds
 
@@ -42,16 +43,25 @@ WITH m AS (
   UNION ALL SELECT 'document', id::VARCHAR, unnest({TOKENS.format('document_name')}) FROM {DOCS})"""
 
 
-def _tags(spark: SparkSession, d: str) -> DataFrame:
+def _tags(spark: SparkSession, d: str, *more: str) -> DataFrame:
     tags = F.transform(T.csv_list(F.col("document_tags")), lambda x: F.lower(x))
-    return live(spark, d, "agent_document", "document_tags", "knowledge_scope_code").select(F.col("id").alias("document_id"), T.filled(T.code_key(F.col("knowledge_scope_code"))).alias("scope"), tags.alias("tags"))
+    return live(spark, d, "agent_document", "document_tags", "knowledge_scope_code", *more).select(F.col("id").alias("document_id"), T.filled(T.code_key(F.col("knowledge_scope_code"))).alias("scope"), tags.alias("tags"), *more)
+
+
+def _scope_texts(spark: SparkSession, d: str) -> DataFrame:
+    c = live(spark, d, "knowledge_scope_node", "scope_code", "scope_name", "aliases", "example_questions")
+    return c.select(F.col("scope_code").alias("name"), F.concat_ws(" ", "scope_name", "aliases", "example_questions").alias("t"))
+
+
+def _topic_names(spark: SparkSession, d: str) -> DataFrame:
+    return _tags(spark, d).select(F.explode("tags").alias("name")).distinct()
 
 
 @query(ROUTE_TERMS + " SELECT term, level, name, count(*) AS tf FROM m GROUP BY ALL")
 def route_index(spark: SparkSession, d: str) -> DataFrame:
     """The inverted index over what a route can lead to: scopes with aliases and example questions, topics, documents."""
-    scopes = live(spark, d, "knowledge_scope_node", "scope_code", "scope_name", "aliases", "example_questions").select(F.lit("scope").alias("level"), F.col("scope_code").alias("name"), F.concat_ws(" ", "scope_name", "aliases", "example_questions").alias("t"))
-    topics = _tags(spark, d).select(F.explode("tags").alias("name")).distinct().select(F.lit("topic").alias("level"), "name", F.col("name").alias("t"))
+    scopes = _scope_texts(spark, d).select(F.lit("scope").alias("level"), "name", "t")
+    topics = _topic_names(spark, d).select(F.lit("topic").alias("level"), "name", F.col("name").alias("t"))
     docs = live(spark, d, "agent_document", "document_name").select(F.lit("document").alias("level"), F.col("id").cast("string").alias("name"), F.col("document_name").alias("t"))
     words = scopes.unionByName(topics).unionByName(docs).select("level", "name", F.explode(R.tokens(F.col("t"))).alias("term"))
     return words.groupBy("term", "level", "name").agg(F.count(F.lit(1)).alias("tf"))
@@ -129,25 +139,36 @@ SELECT query_id, name::BIGINT AS document_id, scope, round(score, 6)::DOUBLE AS
 def route_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Scope, topic, document: the three best scopes (shared words of their names, aliases and example questions count
     twice those of their documents), the five best topics in them, and the five best documents, whose score is their own
-    shared words and a tenth of those of their scope and best topic [choice of weights]. Queries meet the index by term."""
-    index = route_index(spark, d).select("term", "level", "name")
-    q = search.asked(spark, d).select("query_id", F.explode(F.array_distinct(R.tokens(F.col("user_prompt")))).alias("term"))
-    hit = q.join(index, "term").groupBy("query_id", "level", "name").agg(F.count(F.lit(1)).alias("shared")).checkpoint()
-    tagged = _tags(spark, d).where("scope is not null").select(F.col("document_id").cast("string").alias("name"), "scope", "tags")
-    dh = hit.where("level = 'document'").join(tagged, "name").select("query_id", "name", "scope", "tags", "shared")
-    direct = hit.where("level = 'scope'").select("query_id", T.code_key(F.col("name")).alias("scope"), (F.col("shared") * 2).alias("s"))
-    sc = direct.unionByName(dh.select("query_id", "scope", F.col("shared").alias("s"))).groupBy("query_id", "scope").agg(F.sum("s").alias("scope_score"))
-    sr = R.top(sc, ["query_id"], "scope_score", "scope", 3, "scope_rank").select("query_id", "scope", "scope_score")
-    inside = dh.join(sr, ["query_id", "scope"])
-    tp = inside.select("query_id", "scope", F.explode(F.array_distinct("tags")).alias("topic"), "shared").groupBy("query_id", "scope", "topic").agg(F.sum("shared").alias("shared"))
-    named = hit.where("level = 'topic'").select("query_id", F.col("name").alias("topic"), F.col("shared").alias("own"))
-    scored = tp.join(named, ["query_id", "topic"], "left").withColumn("topic_score", F.col("shared") + F.coalesce("own", F.lit(0)))
-    tr = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("topic_score"), "topic", "scope"))).where("r <= 5")
-    best = inside.select("query_id", "name", "scope", F.explode_outer(F.array_distinct("tags")).alias("topic"), "shared", "scope_score").join(tr.select("query_id", "scope", "topic", "topic_score"), ["query_id", "scope", "topic"], "left")
-    cand = best.groupBy("query_id", "name", "scope", "shared", "scope_score").agg(F.max("topic_score").alias("t"))
-    score = F.round(F.col("shared") + F.col("scope_score") * 0.1 + F.coalesce(F.col("t") * 0.1, F.lit(0.0)), 6)
-    rows = cand.select("query_id", F.col("name").cast("bigint").alias("document_id"), "scope", score.alias("score"))
-    return R.top(rows, ["query_id"], "score", "document_id", 5)
+    shared words and a tenth of those of their scope and best topic [choice of weights]. What scopes and topics score are
+    sums over terms, documents with the same scope, tags and asked words are alike, as are questions with the same words of
+    the index, and the rest meets in blocks, so questions don't meet documents one by one."""
+    ensure_checkpoint_dir(spark)
+    q = R.terms_of(search.asked(spark, d), "user_prompt", "query_id")
+    asked = lambda df: with_keys(df, q.select("h").distinct(), "h")
+    tagged = _tags(spark, d, "document_name").where("scope is not null").withColumn("tags", F.array_distinct("tags"))
+    terms = asked(R.terms_of(tagged.withColumnRenamed("document_id", "id"), "document_name", "id", "scope", "tags")).checkpoint()
+    direct = asked(R.terms_of(_scope_texts(spark, d), "t", "name")).distinct().checkpoint()
+    named = asked(R.terms_of(_topic_names(spark, d), "name", "name")).checkpoint()
+    classes, members = R.question_classes(q, "query_id", terms.select("h").union(direct.select("h")).union(named.select("h")).distinct())
+    own = classes.select("of", F.explode("terms").alias("h"))
+    weight = direct.select(T.code_key(F.col("name")).alias("scope"), "h", F.lit(2).alias("w")).union(terms.select("scope", "h", F.lit(1))).groupBy("scope", "h").agg(F.sum("w").alias("w"))
+    sc = own.join(weight, "h").groupBy("of", "scope").agg(F.sum("w").alias("scope_score"))
+    sr = R.top(sc, ["of"], "scope_score", F.asc_nulls_last("scope"), 3, "scope_rank").select("of", "scope", "scope_score").checkpoint()
+    in_topic = terms.select("scope", "h", F.explode("tags").alias("topic")).groupBy("scope", "topic", "h").agg(F.count(F.lit(1)).alias("w"))
+    tp = own.join(sr, "of").join(in_topic, ["scope", "h"]).groupBy("of", "scope", "topic").agg(F.sum("w").alias("shared"))
+    hit = own.join(named.withColumnRenamed("name", "topic"), "h").groupBy("of", "topic").agg(F.count(F.lit(1)).alias("own"))
+    scored = tp.join(hit, ["of", "topic"], "left").withColumn("topic_score", F.col("shared") + F.coalesce("own", F.lit(0)))
+    tr = scored.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("topic_score"), "topic", "scope"))).where("r <= 5")
+    topic = lambda x: F.xxhash64("scope", x)
+    bonus = sr.groupBy("of").agg(F.collect_list(F.xxhash64("scope")).alias("scopes"), F.collect_list("scope_score").alias("scope_bonus"))
+    more = tr.groupBy("of").agg(F.collect_list(topic("topic")).alias("topics"), F.collect_list("topic_score").alias("topic_bonus"))
+    none = F.array().cast("array<bigint>")
+    queries = classes.join(bonus, "of").join(more, "of", "left").withColumns({c: F.coalesce(c, none) for c in ("topics", "topic_bonus")})
+    docs = terms.groupBy("id").agg(F.any_value("scope").alias("scope"), F.sort_array(F.any_value("tags")).alias("tags"), F.sort_array(F.collect_set("h")).alias("terms"))
+    docs = R.first_alike(docs, ["scope", "tags", "terms"], 5).withColumn("topics", F.transform("tags", topic))
+    # in tenths, so that sums are exact
+    found = R.routed_top(queries, docs, 5, 10).join(members, "of")
+    return found.select("query_id", F.col("id").alias("document_id"), "scope", (F.col("value") / 10).alias("score"), "rank")
 
 
 # evidence per sub-question

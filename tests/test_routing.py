@@ -35,7 +35,7 @@ def folder(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["route_funnel"])
+@pytest.mark.parametrize("name", ["route_funnel", "route_cascade"])
 def test_questions_meet_no_single_documents(spark, folder, name):
     """As SQL says, and without a row for each of the 600,000 pairs of a question and a document that share a word."""
     before = shuffled(spark)
