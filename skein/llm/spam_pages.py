@@ -1,10 +1,10 @@
 """Pages of repeated keywords, link lists or product tags, found by labelling lines with a hidden Markov model.
 
 Each line of a text emits a symbol (what it looks like: sentences, links, tags, a listing, a heading ...); the hidden
-states are prose, link list, tag list and menu. The model's probabilities are fitted to the corpus by Baum-Welch rounds
-over a bounded sample of it, from a prior that says what the states mean. The Viterbi path labels all lines of a page
+states are prose, link list, tag list and menu. The model's probabilities are fitted to all texts by Baum-Welch rounds,
+from a prior that says what the states mean; a round is one scan of the lines' symbols and sends back 60 sums a task. The Viterbi path labels all lines of a page
 together, so a short line takes the side of its neighbours. A page is flagged if at least half of its words stand in lines that are not prose.
-Pages are independent: the operator is one scan without a shuffle, after one for the sample.
+Texts are read once; what is kept of them is five bytes per line, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.text import IDEOGRAPH, LETTER, SPACE, classes, codes, slices, span_hashes, word_classes
+from skein.session import ensure_checkpoint_dir
 
 PROSE, LINKS, TAGS, MENU = range(4)
 STATES = ["prose", "link list", "tag list", "menu"]
@@ -36,8 +38,8 @@ EMISSION = np.array(
 STAY = 0.88
 TRANSITION = np.full((4, 4), (1 - STAY) / 3) + np.eye(4) * (STAY - (1 - STAY) / 3)
 START = np.array([0.7, 0.1, 0.1, 0.1])
-#: Texts the model is fitted on, at most, and the length up to which a text may be one of them.
-SAMPLE, SAMPLE_CHARS = 4_000, 20_000
+#: Lines that a task takes at a time; a longer text is taken alone.
+LINES = 1 << 18
 #: Rounds of fitting, and the lines of each state that the prior weighs as much as.
 ROUNDS, PRIOR = 4, 2_000
 #: Share of words in lines that are not prose from which a page is flagged.
@@ -225,34 +227,71 @@ def expected(symbols: np.ndarray, words: np.ndarray, counts: np.ndarray, model:
     return both / np.maximum(both.sum(axis=1, keepdims=True), 1e-300), steps
 
 
+def sums(symbols: np.ndarray, words: np.ndarray, counts: np.ndarray, model: Model) -> np.ndarray:
+    """The expected numbers of first states, transitions and emissions, one after the other."""
+    first = np.concatenate(([0], np.cumsum(counts)))[:-1][counts > 0]
+    state, steps = expected(symbols, words, counts, model)
+    emission = np.stack([np.bincount(symbols, weights=state[:, k], minlength=EMISSION.shape[1]) for k in range(4)])
+    return np.concatenate((state[first].sum(axis=0), steps.ravel(), emission.ravel()))
+
+
+def updated(total: np.ndarray, prior: float) -> Model:
+    """The model of the next round; digits that depend on the order in which sums were added are cut off."""
+    start, transition, emission = prior * START + total[:4], prior * TRANSITION + total[4:20].reshape(4, 4), prior * EMISSION + total[20:].reshape(EMISSION.shape)
+    return Model(np.round(start / start.sum(), 12), np.round(transition / transition.sum(axis=1, keepdims=True), 12), np.round(emission / emission.sum(axis=1, keepdims=True), 12))
+
+
 def fit(symbols: np.ndarray, words: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
     """Baum-Welch rounds from the prior, which counts as `prior` lines of each state (and texts, for the start)."""
     model = Model()
-    first = np.concatenate(([0], np.cumsum(counts)))[:-1][counts > 0]
     for _ in range(rounds if len(symbols) else 0):
-        state, steps = expected(symbols, words, counts, model)
-        emission = prior * EMISSION + np.stack([np.bincount(symbols, weights=state[:, k], minlength=EMISSION.shape[1]) for k in range(4)])
-        transition, start = prior * TRANSITION + steps, prior * START + state[first].sum(axis=0)
-        model = Model(start / start.sum(), transition / transition.sum(axis=1, keepdims=True), emission / emission.sum(axis=1, keepdims=True))
+        model = updated(sums(symbols, words, counts, model), prior)
     return model
 
 
-def fitted(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Model:
-    """The model fitted to a sample of the texts, chosen by a hash of the key; the driver gets two numbers per line."""
-    some = df.where(F.length(text).between(1, SAMPLE_CHARS))
-    n = some.count()
-    if n > sample:
-        some = some.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int((1 << 20) * sample / n) + 1).limit(2 * sample)
+def _observed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, filled, symbols, halves): the symbols of each text's lines and their sizes in half words, and whether the
+    text has any character."""
+    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            symbols, words, counts = observe(batch.column(0).to_pylist())
+        for batch in slices(batches, 1):
+            symbols, words, counts = observe([t or "" for t in batch.column(1).to_pylist()])
             at = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(symbols.astype(np.int8))), pa.ListArray.from_arrays(at, pa.array(words.astype(np.float32)))], names=["symbols", "words"])
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (symbols.astype(np.int8), np.rint(2 * words).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=[key, "filled", "symbols", "halves"])
+
+    rows = df.select(key, text, F.coalesce(F.length(text) > 0, F.lit(False)).alias("filled"))
+    return rows.mapInArrow(run, f"`{key}` {kind}, filled boolean, symbols array<tinyint>, halves array<int>")
 
-    rows = some.select(text).mapInArrow(run, "symbols array<tinyint>, words array<float>").toArrow()
-    symbols, words = rows.column("symbols").combine_chunks(), rows.column("words").combine_chunks()
-    return fit(symbols.flatten().to_numpy().astype(np.int64), words.flatten().to_numpy().astype(np.float64), symbols.value_lengths().to_numpy().astype(np.int64))
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """The batches cut so that their texts have about LINES lines together, with symbols, words and lines of the texts."""
+    for batch in batches:
+        size = np.cumsum(batch.column("symbols").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(size, (int(size[begin - 1]) if begin else 0) + LINES, side="right")))
+            part = batch.slice(begin, end - begin)
+            symbols, halves = part.column("symbols"), part.column("halves")
+            yield part, symbols.flatten().to_numpy().astype(np.int64), halves.flatten().to_numpy() / 2, symbols.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = end
+
+
+def fitted(observed: DataFrame, rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+    """The model fitted to all texts that aren't empty. observed comes from _observed and is read in every round."""
+    model = Model()
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(20 + EMISSION.size)
+            for _, symbols, words, counts in _lines(batches):
+                total += sums(symbols, words, counts, model)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["task", "sums"])
+
+        tasks = observed.where("filled").select("symbols", "halves").mapInArrow(run, "task int, sums array<double>").collect()
+        model = updated(sum((np.array(r.sums) for r in sorted(tasks, key=lambda r: r.task)), np.zeros(20 + EMISSION.size)), prior)
+    return model
 
 
 def label_pages(df: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, model: Model | None = None) -> DataFrame:
@@ -261,17 +300,19 @@ def label_pages(df: DataFrame, key: str = "doc_id", text: str = "text", share: f
     is one line; repeated rows come out as often; an empty table gives an empty result; other columns are ignored. The
     model is fitted to the texts unless one is given."""
     kind = df.schema[key].dataType.simpleString()
-    df = df.select(key, text)
-    model = fitted(df, key, text) if model is None else model
+    observed = _observed(df, key, text)
+    if model is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        observed = observed.checkpoint()
+        model = fitted(observed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            symbols, words, counts = observe([t or "" for t in batch.column(1).to_pylist()])
+        for batch, symbols, words, counts in _lines(batches):
             states = viterbi(symbols, words, counts, model)
             of = np.repeat(np.arange(len(counts)), counts)
-            sums = [np.bincount(of, weights=words * (states == s), minlength=len(counts)) for s in range(4)]
-            total = sum(sums)
-            spam = (total > 0) & (total - sums[PROSE] >= share * total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in (total, *sums[1:])), pa.array(spam)], names=[key, "n_words", "links", "tags", "menu", "is_spam"])
+            own = [np.bincount(of, weights=words * (states == s), minlength=len(counts)) for s in range(4)]
+            total = sum(own)
+            spam = (total > 0) & (total - own[PROSE] >= share * total)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in (total, *own[1:])), pa.array(spam)], names=[key, "n_words", "links", "tags", "menu", "is_spam"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words double, links double, tags double, menu double, is_spam boolean")
+    return observed.select(key, "symbols", "halves").mapInArrow(run, f"`{key}` {kind}, n_words double, links double, tags double, menu double, is_spam boolean")
