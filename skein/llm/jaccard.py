@@ -40,8 +40,8 @@ BLOCK, FAN_IN = 1 << 16, 64
 STEPS = 256.0
 #: Texts of a region above which its members are sent on to regions of two shingles.
 HOT_REGION = 50_000
-#: Texts from which phrases of hot shingles are learned, about.
-PHRASE_TEXTS = 20_000
+#: Share of the places of two hot shingles at which they follow each other, from which they are of one phrase.
+TOGETHER = 0.9
 #: Region entries that one task is meant to join, and the most it unpacks at a time.
 TASK_ENTRIES = 1_200_000
 
@@ -206,10 +206,11 @@ def hot_level(sketch: np.ndarray, hot: int) -> float:
     return STEPS * float(np.log2(1 + middle + max(hot, 8 * (count(0.75) - middle))))
 
 
-def _phrases(df: DataFrame, key: str, text: str, width: int, sketch, level: float, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hot shingles (sorted) and the one that stands for the phrase of each. Two hot shingles are of one phrase if, in a
-    share of the texts, chosen by a hash of the key, they follow each other nine times out of ten. Any phrases keep the
-    join exact, so a sample is enough. There are at most as many hot shingles as texts fit into the threshold."""
+def _phrases(df: DataFrame, key: str, text: str, width: int, sketch, level: float, share: float = TOGETHER) -> tuple[np.ndarray, np.ndarray]:
+    """The hot shingles of phrases (sorted) and the one that stands for the phrase of each. Two hot shingles are of one
+    phrase if they follow each other at a share of their places in all texts. Any phrases keep the join exact. The driver
+    gets pairs of one phrase only, for each shingle one at most if the share is more than a half; those that merely share
+    a counter with a hot one hardly ever stand side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
@@ -217,25 +218,27 @@ def _phrases(df: DataFrame, key: str, text: str, width: int, sketch, level: floa
             hot = sketch.value[(h & np.uint64(len(sketch.value) - 1)).astype(np.int64)] > level
             both = np.flatnonzero(hot[1:] & hot[:-1] & (of[1:] == of[:-1]))
             a, b = np.concatenate((h[hot], h[both])), np.concatenate((np.zeros(int(hot.sum()), np.uint64), h[both + 1]))
-            rows, n = np.unique(np.stack((a, b), axis=1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(rows[:, 1]).view(np.int64)), pa.array(n, pa.int64())], names=["a", "b", "n"])
-
-    some = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20)) + 1)
-    seen = some.select(text).mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    a, b, n = (seen.column(c).to_numpy() for c in ("a", "b", "n"))
-    a, b = a.view(np.uint64), b.view(np.uint64)
-    own = dict(zip(a[b == 0].tolist(), n[b == 0].tolist()))
-    up = {h: h for h in own}
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            n = np.diff(np.append(begins, len(a)))
+            yield pa.RecordBatch.from_arrays([pa.array(a[begins].view(np.int64)), pa.array(b[begins].view(np.int64)), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    seen = df.select(text).mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).checkpoint()
+    alone = seen.where("b = 0").select("a", F.col("n").alias("own"))
+    pairs = seen.where("b <> 0").join(alone, "a").where(F.col("n") >= share * F.col("own")).join(alone.select(F.col("a").alias("b"), F.col("own").alias("other")), "b").where(F.col("n") >= share * F.col("other"))
+    found = pairs.select("a", "b").toArrow()
+    a, b = (found.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+    keys = np.unique(np.concatenate((a, b)))
+    up = {h: h for h in keys.tolist()}
 
     def top(h: int) -> int:
         while up[h] != h:
             up[h] = h = up[up[h]]
         return h
 
-    for x, y, k in zip(a[b != 0].tolist(), b[b != 0].tolist(), n[b != 0].tolist()):
-        if k >= 0.9 * max(own[x], own[y]):
-            up[top(x)] = top(y)
-    keys = np.array(sorted(own), np.uint64)
+    for x, y in sorted(zip(a.tolist(), b.tolist())):
+        up[top(x)] = top(y)
     return keys, np.array([top(int(h)) for h in keys], np.uint64)
 
 
@@ -439,9 +442,8 @@ def similar_texts(df: DataFrame, key: str, text: str, t: float = 0.8, width: int
     copies = sets.join(checked(several.select("f1", "f2", "n", "class_id")), ["f1", "f2", "n"]).select(key, "class_id")
     classes = sets.select(key).join(copies, key, "left").select(key, F.coalesce("class_id", key).alias("class_id"))
     first = without_keys(df, copies.where(F.col(key) != F.col("class_id")).select(key), key)
-    size = sets.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).first()
-    total = seeker_share(t) * (size.n or 0)
-    phrases = _phrases(first, key, text, width, sketch, level, PHRASE_TEXTS / max(1, size.texts)) if (counts > level).any() else None
+    total = seeker_share(t) * (sets.agg(F.sum("n")).first()[0] or 0)
+    phrases = _phrases(first, key, text, width, sketch, level) if (counts > level).any() else None
     phrases = spark.sparkContext.broadcast(phrases)
     buckets = max(2, int(total // TASK_ENTRIES) + 1)
     packed = _regions(first, key, text, width, t, max(least, 1), level, sketch, phrases, buckets)

@@ -1,8 +1,9 @@
 """Models and counts come from all texts."""
 
 import numpy as np
+import pytest
 
-from skein.llm import spam_pages
+from skein.llm import jaccard, spam_pages
 
 
 def test_the_page_model_is_fitted_to_all_texts(spark):
@@ -14,3 +15,20 @@ def test_the_page_model_is_fitted_to_all_texts(spark):
     for parts in (1, 5):
         got = spam_pages.fitted(spam_pages._observed(df.repartition(parts), "doc_id", "text"))
         assert all(np.allclose(x, y, rtol=0, atol=1e-10) for x, y in zip(got, want))
+
+
+@pytest.mark.parametrize("texts", [300])
+def test_phrases_are_counted_in_all_texts(spark, monkeypatch, texts):
+    """Two shingles that part in a tenth of the texts and more are of no phrase, and each hot one is found, however few
+    texts a sample would have had."""
+    monkeypatch.setattr(jaccard, "PHRASE_TEXTS", 3, raising=False)
+    found = []
+    plain = jaccard._phrases
+    monkeypatch.setattr(jaccard, "_phrases", lambda *args: found.append(plain(*args)) or found[-1])
+    data = [(i, f"x{i} a b c d" + (" e f" if i % 8 else f" y{i} e f")) for i in range(texts)]
+    jaccard.similar_texts(spark.createDataFrame(data, "id bigint, t string"), "id", "t", 0.6, 1, hot=20)
+    keys, reps = found[0]
+    code = lambda w: int(jaccard.shingles([w], 1)[0][0])
+    of = dict(zip(keys.tolist(), reps.tolist()))
+    assert set(of) == {code(w) for w in "abcdef"}
+    assert len({of[code(w)] for w in "abcd"}) == 1 and of[code("e")] == of[code("f")] != of[code("d")]
