@@ -203,7 +203,9 @@ def routed_top(queries: DataFrame, docs: DataFrame, n: int, unit: int) -> DataFr
     none = F.array().cast("array<bigint>")
     docs, queries = docs.select("id", "terms", "scope", "topics").checkpoint(), queries.checkpoint()
     total = docs.count()
-    qb, vb = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-total // TEXT_BLOCK), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2000))
+    qb = max(1, -(-queries.count() // QUERY_BLOCK))
+    # a query costs a task more than a few thousand documents do: many blocks only where there are few of queries
+    vb = max(1, -(-total // TEXT_BLOCK), min(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // qb), total // 2000))
     here = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = queries.withColumnRenamed("of", "id").withColumn("scope", F.lit(None).cast("string"))

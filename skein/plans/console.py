@@ -16,7 +16,7 @@ from skein.operators import structure as S
 from skein.operators.joins import with_keys
 from skein.plans import search
 from skein.plans.registry import live, live_sql, query
-from skein.plans.search import ASKED, HYBRID, NEAR, NODES_SQL, POSTINGS, TOKENS, bm25_sql
+from skein.plans.search import ASKED, HYBRID, NEAR, NODES_SQL, POSTINGS, ROUTED, TOKENS, bm25_sql
 from skein.session import ensure_checkpoint_dir, work_folder
 from skein.sources.tables import event_time, table
 from skein.streaming import folds
@@ -123,7 +123,7 @@ def topic_scores(spark: SparkSession, d: str) -> DataFrame:
 # routing: scopes by name, aliases and example questions; their topics; documents of both
 
 
-FUNNEL = ROUTE_TERMS + f""", q AS (SELECT DISTINCT query_id, unnest({TOKENS.format('user_prompt')}) AS term FROM {ASKED}),
+FUNNEL = ROUTE_TERMS + f""", q AS (SELECT DISTINCT query_id, unnest({TOKENS.format('user_prompt')}) AS term FROM {ROUTED}),
 dm AS (SELECT DISTINCT level, name, term FROM m),
 hit AS (SELECT query_id, level, name, count(*) AS shared FROM q JOIN dm USING (term) GROUP BY ALL),
 tagged AS (SELECT id::VARCHAR AS name, lower(trim(knowledge_scope_code)) AS scope, {TAGS} AS tags FROM {DOCS} WHERE coalesce(trim(knowledge_scope_code), '') <> ''),
@@ -143,7 +143,7 @@ def route_cascade(spark: SparkSession, d: str) -> DataFrame:
     sums over terms, documents with the same scope, tags and asked words are alike, as are questions with the same words of
     the index, and the rest meets in blocks, so questions don't meet documents one by one."""
     ensure_checkpoint_dir(spark)
-    q = R.terms_of(search.asked(spark, d), "user_prompt", "query_id")
+    q = R.terms_of(search.routed(spark, d), "user_prompt", "query_id")
     asked = lambda df: with_keys(df, q.select("h").distinct(), "h")
     tagged = _tags(spark, d, "document_name").where("scope is not null").withColumn("tags", F.array_distinct("tags"))
     terms = asked(R.terms_of(tagged.withColumnRenamed("document_id", "id"), "document_name", "id", "scope", "tags")).checkpoint()

@@ -22,9 +22,16 @@ TOKENS = (
 #: Queries are the prompts whose id is divisible by 20, against all chunks.
 ASKED = f"(SELECT id AS query_id, user_prompt FROM {EXCHANGES} WHERE id % 20 = 0 AND length(trim(user_prompt)) > 1)"
 
+#: Routes are found for all prompts.
+ROUTED = f"(SELECT id AS query_id, user_prompt FROM {EXCHANGES} WHERE length(trim(user_prompt)) > 1)"
+
+
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    return live(spark, d, "chat_exchange", "user_prompt").where(F.length(T.stripped(F.col("user_prompt"))) > 1).select(F.col("id").alias("query_id"), "user_prompt")
+
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    return live(spark, d, "chat_exchange", "user_prompt").where((F.col("id") % 20 == 0) & (F.length(T.stripped(F.col("user_prompt"))) > 1)).select(F.col("id").alias("query_id"), "user_prompt")
+    return routed(spark, d).where("query_id % 20 = 0")
 
 
 def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:

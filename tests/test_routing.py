@@ -43,6 +43,18 @@ def test_questions_meet_no_single_documents(spark, folder, name):
     assert sum(n for stage, n in shuffled(spark).items() if stage not in before) < 150_000
 
 
+@pytest.mark.parametrize("name", ["route_cascade"])
+def test_every_question_is_routed(spark, tmp_path, name):
+    """Whatever its id, a question that shares a word with a document in a scope has a route."""
+    late = "edit_time timestamp, status int"
+    spark.createDataFrame([(1, "hr", "the leave form", "a,b", None, 1), (2, "it", "the laptop form", None, None, 1)], f"id long, knowledge_scope_code string, document_name string, document_tags string, {late}").write.parquet(f"{tmp_path}/agent_document.parquet")
+    spark.createDataFrame([(i, "which form" if i % 2 else "laptop?", None, 1) for i in range(1, 46)], f"id long, user_prompt string, {late}").write.parquet(f"{tmp_path}/chat_exchange.parquet")
+    spark.createDataFrame([(1, "hr", "people", None, None, None, 1)], f"id long, scope_code string, scope_name string, aliases string, example_questions string, {late}").write.parquet(f"{tmp_path}/knowledge_scope_node.parquet")
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    assert {r.query_id for r in found.select("query_id").collect()} == set(range(1, 46))
+    assert_same(found, connect(str(tmp_path)), catalog.SQL[name])
+
+
 def test_routed_top_is_brute_force(spark, monkeypatch):
     monkeypatch.setattr(R, "QUERY_BLOCK", 7)
     monkeypatch.setattr(R, "TEXT_BLOCK", 40)
