@@ -295,7 +295,7 @@ def follow_ups(spark: SparkSession, d: str) -> DataFrame:
 # routing: scopes by words of their names, then documents of the best scopes
 
 FUNNEL = f"""
-WITH q AS (SELECT DISTINCT query_id, unnest({TOKENS.format('user_prompt')}) AS term FROM {ASKED}),
+WITH q AS (SELECT DISTINCT query_id, unnest({TOKENS.format('user_prompt')}) AS term FROM {ROUTED}),
 dt AS (SELECT DISTINCT d.id, lower(trim(knowledge_scope_code)) AS scope, unnest({TOKENS.format('document_name')}) AS term FROM {DOCS} d WHERE coalesce(trim(knowledge_scope_code), '') <> ''),
 s AS (SELECT query_id, id, scope, count(*) AS score FROM q JOIN dt USING (term) GROUP BY ALL),
 sc AS (SELECT query_id, scope, sum(score) AS scope_score FROM s GROUP BY ALL),
@@ -309,7 +309,7 @@ def route_funnel(spark: SparkSession, d: str) -> DataFrame:
     three words, else five. What a scope scores is a sum over terms, documents with the same asked words and questions
     with the same words of names are alike, and the rest meets in blocks, so questions don't meet documents one by one."""
     ensure_checkpoint_dir(spark)
-    q = R.terms_of(asked(spark, d), "user_prompt", "query_id")
+    q = R.terms_of(routed(spark, d), "user_prompt", "query_id")
     docs = live(spark, d, "agent_document", "knowledge_scope_code", "document_name").withColumn("scope", T.code_key(F.col("knowledge_scope_code"))).where("scope <> ''")
     terms = with_keys(R.terms_of(docs, "document_name", "id", "scope"), q.select("h").distinct(), "h").checkpoint()
     classes, members = R.question_classes(q, "query_id", terms.select("h").distinct())

@@ -43,7 +43,7 @@ def test_questions_meet_no_single_documents(spark, folder, name):
     assert sum(n for stage, n in shuffled(spark).items() if stage not in before) < 150_000
 
 
-@pytest.mark.parametrize("name", ["route_cascade"])
+@pytest.mark.parametrize("name", ["route_cascade", "route_funnel"])
 def test_every_question_is_routed(spark, tmp_path, name):
     """Whatever its id, a question that shares a word with a document in a scope has a route."""
     late = "edit_time timestamp, status int"
